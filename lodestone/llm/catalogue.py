@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import load
+from lodestone.llm.encoding_repair import find_garbled, restore
 from lodestone.llm.splitting import split_oversized
 
 QUERIES: dict = {}
@@ -24,3 +25,13 @@ def query(sql: str | None = None):
 @query()
 def p5_found(spark, d):
     return split_oversized(load(spark, d, "chunks").where(~F.col("source_kind").isin("git_commit", "code")))
+
+
+@query()
+def p1_found(spark, d):
+    return find_garbled(load(spark, d, "chunks"))
+
+
+@query()
+def p1_restored(spark, d):
+    return restore(load(spark, d, "chunks"))
