@@ -47,8 +47,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread(df: DataFrame, per_task: int = 20_000) -> DataFrame:
-    """Round-robin repartition if the scan gives fewer partitions than the cluster has cores and there are rows enough to share."""
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition before costly per-row work, only where the scan gives fewer partitions than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
