@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import load
 from lodestone.llm.encoding_repair import find_garbled, restore
+from lodestone.llm.neighbours import similar_pairs
 from lodestone.llm.splitting import split_oversized
+from lodestone.llm.tokenising import encode_column
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +37,13 @@ def p1_found(spark, d):
 @query()
 def p1_restored(spark, d):
     return restore(load(spark, d, "chunks"))
+
+
+@query()
+def p2_found(spark, d):
+    return similar_pairs(load(spark, d, "chunks"))
+
+
+@query()
+def p8_ids(spark, d):
+    return encode_column(load(spark, d, "documents"))
