@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import load
+from lodestone.llm.email_lines import new_lines
 from lodestone.llm.encoding_repair import find_garbled, restore
 from lodestone.llm.neighbours import similar_pairs
 from lodestone.llm.splitting import split_oversized
@@ -47,3 +48,8 @@ def p2_found(spark, d):
 @query()
 def p8_ids(spark, d):
     return encode_column(load(spark, d, "documents"))
+
+
+@query()
+def p6_found(spark, d):
+    return new_lines(load(spark, d, "chunks").where("source_kind = 'email'"))

@@ -21,6 +21,19 @@ CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 _NATURAL = re.compile(rf"(?:[\x00-\x7f{LATIN}{SIGNS}]|[\x00-\x7f{CYRILLIC}{CYRILLIC.upper()}{SIGNS}])*\Z")
 _NO_CASE_BREAK = re.compile(rf"[{CYRILLIC}][{CYRILLIC.upper()}]|[a-zåäöéüèæøßàáíóúñç][{SIGNS[8:]}]+[a-zåäöé]")
 _SIGN_INSIDE = re.compile(r"\w[€£¥©®™½¼¾×±¶¨´¬÷¿¡²³¹ªº]\w|^[½¼¾©®™£¶¨´¬÷]\w")
+# National 7-bit alphabets, whose letters stand where ASCII has these signs.
+SEVEN_BIT = {
+    "sv": ("äöåÄÖÅéüÜ", "{|}[\\]`~^"),
+    "da": ("æøåÆØÅ", "{|}[\\]"),
+    "de": ("äöüßÄÖÜ", "{|}~[\\]"),
+    "fr": ("éùèàç", "{|}@\\"),
+    "es": ("ñÑ¡¿", "|\\[]"),
+}
+_SEVEN = [str.maketrans(a, b) for a, b in SEVEN_BIT.values()]
+_SEVEN_SIGN = re.compile(r"[\[\]{}|\\^~`]")
+_UTF7 = re.compile(r"\+[A-Za-z0-9/]{3,}")
+#: Letters from which a word in a 7-bit alphabet is a finding of its own; shorter ones may be code.
+SEVEN_SURE = 4
 _HARD = re.compile("[\x80-\x9f�]")
 #: How much more frequent a word must be than an equally natural form for that form to count as its garbling.
 MARGIN = 5
@@ -48,7 +61,7 @@ def _bytes(text: str, name: str) -> bytes | None:
 
 def is_natural(token: str) -> bool:
     """Only letters of one known alphabet with ordinary signs, and no sign or capital where prose has none."""
-    return bool(_NATURAL.match(token)) and not _NO_CASE_BREAK.search(token) and not _SIGN_INSIDE.search(token)
+    return bool(_NATURAL.match(token)) and not _SEVEN_SIGN.search(token) and not _UTF7.search(token) and not _NO_CASE_BREAK.search(token) and not _SIGN_INSIDE.search(token)
 
 
 def garbled_forms(word: str) -> Iterator[tuple[str, bool]]:
@@ -59,6 +72,10 @@ def garbled_forms(word: str) -> Iterator[tuple[str, bool]]:
     def fresh(form: str) -> bool:
         return form not in seen and not seen.add(form)
 
+    for table in _SEVEN:
+        form = word.translate(table)
+        if form.isascii() and fresh(form):
+            yield form, False
     utf = word.encode("utf-8", "surrogatepass")
     for outer in SINGLE:
         once = _read(utf, outer)
@@ -89,6 +106,12 @@ def garbled_forms(word: str) -> Iterator[tuple[str, bool]]:
 def reversed_utf8(token: str, depth: int = 2) -> str | None:
     """The word whose UTF-8 bytes were read as a single-byte encoding (once or twice) to give token; natural ones before other words of letters."""
     words = []
+    if token.isascii():
+        try:
+            word = token.encode().decode("utf-7")
+        except UnicodeDecodeError:
+            return None
+        return word if _UTF7.search(token) and not word.isascii() and is_natural(word) else None
     for name in SINGLE:
         raw = _bytes(token, name)
         if raw is None or max(raw, default=0) < 128:
@@ -124,7 +147,7 @@ def _generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 # originals that occur nowhere clean: accepted only when garbling them gives the token again
                 word = reversed_utf8(token)
-                if word and any(form == token for form, _ in garbled_forms(word)):
+                if word and (token.isascii() or any(form == token for form, _ in garbled_forms(word))):
                     out.append((token, word, True, 0))
                 elif _HARD.search(token):
                     out.append((token, None, True, 0))
@@ -132,18 +155,33 @@ def _generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def suspicious_tokens(rows: DataFrame, columns: tuple[str, ...] = ("text", "title"), id_col: str = "id") -> DataFrame:
-    """(id, col_name, token): distinct tokens per value (split at white space and hyphens) that hold a character beyond ASCII, ASCII non-letters cut off at both ends."""
+    """(id, col_name, token): distinct tokens per value that may be garbled: with a character beyond ASCII, a sign of the 7-bit
+    alphabets next to a letter, or a UTF-7 sequence; signs that can't belong to them are cut off at both ends."""
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("value")) for c in columns]))
-    edge = "[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]+"
+
+    def tokens(pattern: str, edge: str):
+        return F.transform(F.regexp_extract_all("v.value", F.lit(pattern), F.lit(0)), lambda t: F.regexp_replace(t, edge, ""))
+
+    none = F.array().cast("array<string>")
+    seven = r"[\[\]{}|\\^~`]"
+    beyond = tokens("(?<![^\\x00-\\x20\\x2d])[\\x21-\\x2c\\x2e-\\x7f]*+[^\\x00-\\x7f][^\\x00-\\x20\\x2d]*+", "^[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]+|[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]+$")
+    national = tokens(rf"(?<![!-,.-~])[!-,.-~]*?(?:[A-Za-z]{seven}|{seven}[A-Za-z])[!-,.-~]*+", "^[\\x00-\\x3f_]+|[\\x00-\\x3f_]+$")
+    utf7 = tokens(r"(?<![!-~])[!-~]*?\+[A-Za-z0-9/]{3}[!-~]*+", "^[^A-Za-z+]+|[^A-Za-z0-9-]+$")
+    found = F.concat(
+        F.when(F.col("v.value").rlike("[^\\x00-\\x7f]"), beyond).otherwise(none),
+        F.when(F.col("v.value").rlike(rf"[A-Za-z]{seven}|{seven}[A-Za-z]"), national).otherwise(none),
+        F.when(F.col("v.value").rlike(r"\+[A-Za-z0-9/]{3}"), utf7).otherwise(none),
+    )
     return (
         rows.select(F.col(id_col).alias("id"), values.alias("v"))
-        .where(F.col("id").isNotNull() & F.col("v.value").rlike("[^\\x00-\\x7f]"))
-        .select("id", "v.col_name", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("v.value", F.lit("(?<![^\\x00-\\x20\\x2d])[\\x21-\\x2c\\x2e-\\x7f]*+[^\\x00-\\x7f][^\\x00-\\x20\\x2d]*+"), F.lit(0)), lambda t: F.regexp_replace(t, f"^{edge}|{edge}$", "")))).alias("token"))
+        .where(F.col("id").isNotNull() & F.col("v.value").isNotNull())
+        .select("id", "v.col_name", F.explode(F.array_distinct(found)).alias("token"))
     )
 
 
 def garbled_dictionary(tokens: DataFrame) -> DataFrame:
-    """(token, original): every garbled token of the corpus with its verified original, null where that is lost or ambiguous.
+    """(token, original, sure): every garbled token of the corpus with its verified original, null where that is lost or ambiguous;
+    not sure are short words in a 7-bit alphabet, which count only beside a sure token.
 
     Of the words that garble to a token, the most frequent is taken if no other is as frequent. A token that itself looks
     natural counts as garbled only if its word is far more frequent; ties thus leave text as it is.
@@ -160,18 +198,19 @@ def garbled_dictionary(tokens: DataFrame) -> DataFrame:
     )
     by_form = Window.partitionBy("form").orderBy(F.col("word").isNull(), F.desc("multi"), F.desc("word_n"), "word")
     ranked = hits.withColumn("k", F.row_number().over(by_form)).withColumn("tie", F.lead("word_n").over(by_form) == F.col("word_n"))
+    sure = F.col("form").rlike("[^\\x00-\\x7f]") | F.col("multi") | (F.length("word") >= SEVEN_SURE)
     lost = F.col("form").contains("�") & F.col("tie")
-    return ranked.where("k = 1").select(F.col("form").alias("token"), F.when(~F.coalesce(lost, F.lit(False)), F.col("word")).alias("original"))
+    return ranked.where("k = 1").select(F.col("form").alias("token"), F.when(~F.coalesce(lost, F.lit(False)), F.col("word")).alias("original"), sure.alias("sure"))
 
 
 def find_garbled(rows: DataFrame, columns: tuple[str, ...] = ("text", "title"), id_col: str = "id") -> DataFrame:
     """(id, col_name): one row per value with characters from a wrong decoding, restorable or not.
 
-    Null ids and null, empty or pure-ASCII values give no row; repeated rows give one. Only the garbled dictionary meets the
+    Null ids and null or empty values give no row; repeated rows give one. Only the garbled dictionary meets the
     tokens; it is broadcast after a count, else joined with adaptive skew handling.
     """
     tokens = suspicious_tokens(rows, columns, id_col)
-    known = small(table_cut(garbled_dictionary(tokens).select("token")))
+    known = small(table_cut(garbled_dictionary(tokens).where("sure").select("token")))
     return tokens.join(known, "token", "left_semi").select("id", "col_name").distinct()
 
 
@@ -185,7 +224,8 @@ def restore(rows: DataFrame, columns: tuple[str, ...] = ("text", "title"), id_co
     per_value = (
         tokens.join(known, "token")
         .groupBy("id", "col_name")
-        .agg(F.array_sort(F.collect_set(F.struct((-F.length("token")).alias("l"), "token", F.coalesce("original", "token").alias("original")))).alias("swaps"))
+        .agg(F.array_sort(F.collect_set(F.struct((-F.length("token")).alias("l"), "token", F.coalesce("original", "token").alias("original")))).alias("swaps"), F.bool_or("sure").alias("sure"))
+        .where("sure")
     )
     values = (
         rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("value")) for c in columns])).alias("v"))
