@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.runtime import load
 from lodestone.llm.email_lines import new_lines
 from lodestone.llm.encoding_repair import find_garbled, restore
+from lodestone.llm.language import fit, relabel
 from lodestone.llm.neighbours import similar_pairs
 from lodestone.llm.splitting import split_oversized
 from lodestone.llm.tokenising import encode_column
@@ -53,3 +54,9 @@ def p8_ids(spark, d):
 @query()
 def p6_found(spark, d):
     return new_lines(load(spark, d, "chunks").where("source_kind = 'email'"))
+
+
+@query()
+def p3_found(spark, d):
+    rows = load(spark, d, "chunks").where(F.col("source_kind").isin("note", "doc", "aichat", "messenger"))
+    return relabel(rows, load(spark, d, "lang_labels"), fit(load(spark, d, "documents"))).select("id", "seg_no", "lang")
