@@ -9,6 +9,7 @@ from lodestone.llm.email_lines import new_lines
 from lodestone.llm.encoding_repair import find_garbled, restore
 from lodestone.llm.language import fit, relabel
 from lodestone.llm.neighbours import similar_pairs
+from lodestone.llm.residue import to_exclude
 from lodestone.llm.splitting import split_oversized
 from lodestone.llm.tokenising import encode_column
 
@@ -60,3 +61,8 @@ def p6_found(spark, d):
 def p3_found(spark, d):
     rows = load(spark, d, "chunks").where(F.col("source_kind").isin("note", "doc", "aichat", "messenger"))
     return relabel(rows, load(spark, d, "lang_labels"), fit(load(spark, d, "documents"))).select("id", "seg_no", "lang")
+
+
+@query()
+def p10_found(spark, d):
+    return to_exclude(load(spark, d, "documents"))
