@@ -8,6 +8,7 @@ from lodestone.functions.runtime import load
 from lodestone.llm.email_lines import new_lines
 from lodestone.llm.encoding_repair import find_garbled, restore
 from lodestone.llm.language import fit, relabel
+from lodestone.llm.leakage import leaked, leaks
 from lodestone.llm.neighbours import similar_pairs
 from lodestone.llm.residue import to_exclude
 from lodestone.llm.splitting import split_oversized
@@ -66,3 +67,13 @@ def p3_found(spark, d):
 @query()
 def p10_found(spark, d):
     return to_exclude(load(spark, d, "documents"))
+
+
+@query()
+def p9_found(spark, d):
+    return leaked(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+@query()
+def p9_matches(spark, d):
+    return leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))

@@ -45,14 +45,19 @@ class PerfectHash:
             members = h[order[cuts[b] : cuts[b + 1]]]
             if not len(members):
                 break
-            d = 0
+            # displacements are tried in growing blocks until one puts every member in a free slot of its own
+            first, block = 0, 16
             while True:
-                slots = self._slots(members, np.uint64(d))
-                if not taken[slots].any() and len(set(slots.tolist())) == len(slots):
+                tried = self._slots(members[:, None], np.arange(first, first + block, dtype=np.uint64)[None, :])
+                good = ~taken[tried].any(axis=0)
+                if len(members) > 1:
+                    good &= (np.diff(np.sort(tried, axis=0), axis=0) != 0).all(axis=0)
+                if good.any():
                     break
-                d += 1
-            taken[slots] = True
-            self.shift[b] = d
+                first, block = first + block, min(4 * block, 65536)
+            at = int(good.argmax())
+            taken[tried[:, at]] = True
+            self.shift[b] = first + at
         at = self.slots(h)
         self.keys: list[bytes] = [b""] * self.n
         self.ids = np.zeros(self.n, dtype=np.int32)
@@ -112,8 +117,8 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.table = PerfectHash(ranks)
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash | None = None):
+        self.table = table or PerfectHash(ranks)
         self.ranks = ranks
         self.known: dict[str, list[int]] = {}
 
@@ -132,7 +137,7 @@ class Encoder:
 
 def _encoder(shared) -> Callable:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = Encoder(shared.value)
+        made = Encoder(*shared.value)
         for texts in batches:
             # steps of 500 texts bound the pre-tokens held at once
             yield pd.Series([ids for at in range(0, len(texts), 500) for ids in made.encode(texts.iloc[at : at + 500].tolist())], index=texts.index)
@@ -146,6 +151,7 @@ def encode_column(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Empty and null texts give an empty list. Rows are kept one for one, null ids and repeated rows included. No shuffle; the
     vocabulary (fixed size) is the only thing sent to the executors.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(load_ranks(vocabulary or os.path.join(VOCABULARIES, "byte_bpe_50k.tiktoken")))
+    ranks = load_ranks(vocabulary or os.path.join(VOCABULARIES, "byte_bpe_50k.tiktoken"))
+    shared = rows.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
     udf = F.pandas_udf(_encoder(shared), "array<int>", F.PandasUDFType.SCALAR_ITER)
     return spread(rows.select(id_col, text_col)).select(id_col, udf(F.coalesce(text_col, F.lit(""))).alias("ids"))
