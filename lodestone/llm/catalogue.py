@@ -10,6 +10,7 @@ from lodestone.llm.encoding_repair import find_garbled, restore
 from lodestone.llm.language import fit, relabel
 from lodestone.llm.leakage import leaked, leaks
 from lodestone.llm.neighbours import similar_pairs
+from lodestone.llm.personal_data import find_mentions
 from lodestone.llm.residue import to_exclude
 from lodestone.llm.splitting import split_oversized
 from lodestone.llm.tokenising import encode_column
@@ -77,3 +78,8 @@ def p9_found(spark, d):
 @query()
 def p9_matches(spark, d):
     return leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+@query()
+def p4_found(spark, d):
+    return find_mentions(load(spark, d, "chunks"))
