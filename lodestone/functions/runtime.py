@@ -53,3 +53,12 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def hash_sample(rows: DataFrame, column: str, limit: int) -> list[str]:
+    """At most limit distinct-by-hash values of a text column, the same ones at every run; tasks send only about as many as are kept."""
+    hashed = rows.select(column, F.xxhash64(column).alias("h"))
+    n = rows.count()
+    if n > 2 * limit:
+        hashed = hashed.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * limit / n)))
+    return [r[0] for r in hashed.orderBy("h", column).limit(limit).collect()]
