@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.runtime import spread
+from lodestone.functions.runtime import hash_sample, spread
 
 LABELS = ("new", "quoted", "signature", "disclaimer", "head")
 #: Mails the model is fitted on, at most.
@@ -257,8 +257,7 @@ def train(mails: list[str], rounds: int = 4, seed: int = 5) -> LineModel:
 
 def fit(mails: DataFrame, text_col: str = "text", limit: int = TRAINING_MAILS) -> LineModel:
     """The model fitted on at most limit distinct mails, chosen by hash so that the choice is stable."""
-    texts = mails.where(F.col(text_col).isNotNull()).select(text_col, F.xxhash64(text_col).alias("h")).orderBy("h").limit(limit).collect()
-    return train([r[0] for r in texts])
+    return train(hash_sample(mails.where(F.col(text_col).isNotNull()), text_col, limit))
 
 
 def _labeller(weights: dict, moves: list) -> Callable:
