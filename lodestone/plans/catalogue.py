@@ -1,12 +1,20 @@
-"""Registry of the core queries and their SQL counterparts."""
+"""Registry of the core queries and their SQL counterparts. Every query runs over its whole tables and whole texts."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as X
 from lodestone.functions.runtime import load
+from lodestone.operators import chunkers, classify, embedding, evaluate, search, store
 from lodestone.operators.timestamps import normalised_instants
+from lodestone.sources import records
+from lodestone.streaming import incremental
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+AS_OF = "2026-01-01"
 
 
 def query(sql: str | None = None):
@@ -19,6 +27,431 @@ def query(sql: str | None = None):
     return add
 
 
+# pieces of SQL used by several oracles
+_BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
+_STRIP = lambda c: rf"regexp_replace({c}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+_TOKENS = lambda c: rf"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}]+')"
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP) + "]"
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in X.GENERIC) + "]"
+# distinct terms in order: DuckDB's list_distinct does not keep order
+_TERMS = lambda c: f"list_filter({_TOKENS(c)}, lambda t: length(t) >= 2 and not list_contains({_STOP}, t))"
+_ORDERED = lambda c: f"list_filter({c}, lambda t, i: list_position({c}, t) = i)"
+_CHUNKS = "(select * from (select *, row_number() over (partition by id order by id) rn_ from chunks where id is not null) where rn_ = 1)"
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """documents as a chunk table with one chunk per document."""
+    return load(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "source_kind", F.col("doc_id").cast("string").alias("source_id"), F.lit(0).alias("chunk_idx"), F.col("source").alias("project"), "title", "text", F.coalesce("created", F.lit("")).alias("created"), "doc_id", "lang"
+    )
+
+
+_DOCS = "(select doc_id::varchar as id, source_kind, source as project, title, text, coalesce(created, '') as created, lang from documents)"
+
+
+def item_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Of every fiftieth held-out item its question, the first name in it, and how its text begins, as the stated query set."""
+    items = load(spark, d, "eval_items").where("item_id % 50 = 0")
+    forms = [F.col("question"), F.regexp_extract("question", "([A-Z][a-z]{3,})", 1), F.regexp_extract("text", r"^(\S+ \S+ \S+ \S+)", 1)]
+    return items.select(F.explode(F.array(*[F.struct((F.col("item_id") * 10 + k).alias("qid"), f.alias("q")) for k, f in enumerate(forms)])).alias("e")).select("e.qid", "e.q")
+
+
+_QUERIES = r"(select item_id * 10 as qid, question as q from eval_items where item_id % 50 = 0 union all select item_id * 10 + 1, regexp_extract(question, '([A-Z][a-z]{3,})', 1) from eval_items where item_id % 50 = 0 union all select item_id * 10 + 2, regexp_extract(text, '^(\S+ \S+ \S+ \S+)', 1) from eval_items where item_id % 50 = 0)"
+_INDEX = f"(select term, id, source_kind, project, count(*) as tf from (select id, source_kind, project, unnest({_TOKENS("concat_ws(' ', title, text)")}) as term from {_DOCS}) group by all)"
+
+
 @query()
 def p7_found(spark, d):
     return normalised_instants(load(spark, d, "chunks"), load(spark, d, "source_clock"))
+
+
+# --- chunk rows -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with t as (select doc_id, {_STRIP("replace(text, chr(0), '')")} as t from documents where text is not null),
+    c as (select doc_id, t, unnest(range(0, least(cast(ceil(length(t) / 670.0) as int), 400))) as k from t where length(t) > 0)
+    select doc_id::varchar || '#' || k as id, k::int as chunk_idx, substring(t, k * 670 + 1, 750) as text, substring(sha1(substring(t, k * 670 + 1, 750)), 1, 16) as content_hash from c"""
+)
+def chunk_fixed(spark, d):
+    docs = documents(spark, d).withColumns({"full": F.col("text"), "updated": F.lit("")})
+    return chunkers.chunk_rows(docs, F.col("source_kind")).select("id", "chunk_idx", "text", "content_hash")
+
+
+@query(
+    f"""with t as (select doc_id, source_kind, source, title, created, {_STRIP("replace(text, chr(0), '')")} as t from documents where text is not null)
+    select doc_id::varchar || '#0' as id, source_kind, source as project, replace(title, chr(0), '') as title, coalesce(created, '') as created, coalesce(created, '') as updated, length(t)::int as n from t where length(t) > 0"""
+)
+def chunk_single(spark, d):
+    docs = documents(spark, d).withColumns({"full": F.col("text"), "updated": F.lit("")})
+    return chunkers.chunk_rows(docs, F.col("source_kind"), single=True).select("id", "source_kind", "project", "title", "created", "updated", F.length("text").alias("n"))
+
+
+@query()
+def chunk_markdown(spark, d):
+    docs = documents(spark, d).withColumns({"full": F.regexp_replace("text", r"(?m)^Heading: (.*)$", "# $1"), "updated": F.lit("")})
+    return chunkers.chunk_markdown(docs.where("source_kind in ('doc', 'note')"))
+
+
+@query()
+def chunk_code(spark, d):
+    code = load(spark, d, "chunks").where("source_kind = 'code'").select("project", "id", "text").distinct()
+    return chunkers.chunk_code(code.select(F.col("project").alias("repo"), F.regexp_extract("id", r"([^:]+)#\d+$", 1).alias("path"), F.regexp_replace("text", r"^\[[^\n]*\n", "").alias("source")))
+
+
+@query(r"select id, length(text)::int as n, regexp_extract(id, '^(.*)#[^#]*$', 1) as object_key, split_part(id, '#', 1) as mail_key from (select distinct id, text from chunks)")
+def id_keys(spark, d):
+    return load(spark, d, "chunks").select("id", "text").distinct().select("id", F.length("text").alias("n"), X.object_key(F.col("id")).alias("object_key"), F.split_part("id", F.lit("#"), F.lit(1)).alias("mail_key"))
+
+
+@query()
+def latin1_repair(spark, d):
+    fixed = X.latin1_repair(F.col("text"))
+    return load(spark, d, "chunks").select("id", "text").distinct().where(fixed != F.col("text")).select("id", fixed.alias("text"))
+
+
+@query(
+    rf"""select distinct id, {_STRIP(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n+Tags:[^\n]*\s*$', '', 'g'), '" + _BLANK + r"', ' ', 'g')")} as note_key from chunks where source_kind = 'note'"""
+)
+def note_keys(spark, d):
+    return load(spark, d, "chunks").where("source_kind = 'note'").select("id", X.note_key(F.col("text")).alias("note_key")).distinct()
+
+
+@query(
+    rf"""with h as (select distinct id, '<html><head><style>p {{ color: red }}</style></head><body><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p><br/></body></html>' as html from chunks where source_kind = 'email'),
+    a as (select id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') as t from h),
+    b as (select id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as t from a)
+    select id, {_STRIP(r"regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g')")} as body from b"""
+)
+def html_text(spark, d):
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit("<html><head><style>p { color: red }</style></head><body><p>"), escaped, F.lit("</p><br/></body></html>"))
+    return load(spark, d, "chunks").where("source_kind = 'email'").select("id", html.alias("html")).distinct().select("id", X.html_text(F.col("html")).alias("body"))
+
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+
+
+@query("select source_kind, count(*) as n, count(embedding) as embedded, count(*) - count(embedding) as pending from chunks group by rollup (source_kind)")
+def stats_by_kind(spark, d):
+    return load(spark, d, "chunks").rollup("source_kind").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"), (F.count("*") - F.count("embedding")).alias("pending"))
+
+
+@query("select project, count(*) as n from chunks where project is not null group by project order by n desc, project limit 20")
+def stats_projects(spark, d):
+    return load(spark, d, "chunks").where("project is not null").groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(20)
+
+
+@query("select mail_class, count(distinct mid) as mails from email_class group by mail_class")
+def mails_per_class(spark, d):
+    return load(spark, d, "email_class").groupBy("mail_class").agg(F.count_distinct("mid").alias("mails"))
+
+
+@query("select source_kind, project, count(*) as n from chunks where source_kind in ('doc', 'session', 'code') and project in ('gmail', 'boat', 'tax', 'attic-photos') group by all")
+def scope_filter(spark, d):
+    scope = search.in_scope(F.col("source_kind"), F.col("project"), F.lit(["doc", "session", "code"]), F.lit(["gmail", "boat", "tax", "attic-photos"]))
+    return load(spark, d, "chunks").where(scope).groupBy("source_kind", "project").agg(F.count("*").alias("n"))
+
+
+@query(f"""select distinct id, round(case when regexp_matches(created, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') and try_cast(created as date) is not null then greatest(0.0, 1.0 - greatest(date_diff('day', try_cast(created as date), date '{AS_OF}'), 0) / 730.0) else 0.0 end, 9) as recency from chunks""")
+def recency_score(spark, d):
+    return load(spark, d, "chunks").select("id", F.round(X.recency(F.col("created"), F.lit(AS_OF).cast("date")), 9).alias("recency")).distinct()
+
+
+# --- query terms and index --------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with q as (select item_id, list_slice({_ORDERED(_TERMS("question"))}, 1, 12) as terms from eval_items),
+    s as (select *, list_filter(terms, lambda t: not list_contains({_GENERIC}, t)) as rest from q)
+    select item_id, array_to_string(terms, ' ') as terms, array_to_string(case when len(rest) > 0 then rest else terms end, ' ') as soft, len(terms) between 1 and 5 as exact from s"""
+)
+def query_terms(spark, d):
+    q = F.col("question")
+    return load(spark, d, "eval_items").select("item_id", F.array_join(X.query_terms(q), " ").alias("terms"), F.array_join(X.soft_terms(q), " ").alias("soft"), F.size(X.query_terms(q)).between(1, 5).alias("exact"))
+
+
+@query(f"select term, count(*) as df, sum(tf)::bigint as tf from {_INDEX} group by term")
+def posting_terms(spark, d):
+    return search.postings(documents(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+_STRICT = f"""select qid, id, rank, kwscore from (select *, row_number() over (partition by qid order by kwscore desc, id) as rank from (
+    select qid, id, sum(tf)::bigint as kwscore from {_INDEX} i join (select qid, len(list_distinct({_TOKENS("q")})) as n, unnest(list_distinct({_TOKENS("q")})) as term from {_QUERIES}) w using (term) group by qid, id, n having count(*) = n)) where rank <= 80"""
+
+
+@query(_STRICT)
+def fts_strict(spark, d):
+    return search.strict_layer(search.postings(documents(spark, d)), item_queries(spark, d))
+
+
+_SOFT = f"""select qid, term, id, rank, kwscore from (select *, row_number() over (partition by qid, term order by kwscore desc, id) as rank from (
+    select qid, want as term, id, sum(tf)::bigint as kwscore from {_INDEX} i join (
+        select qid, unnest(case when len(rest) > 0 then rest else terms end) as want from (select *, list_filter(terms, lambda t: not list_contains({_GENERIC}, t)) as rest from (select qid, list_slice({_ORDERED(_TERMS("q"))}, 1, 12) as terms from {_QUERIES}))) w
+    on case when length(want) >= 4 then starts_with(i.term, want) else i.term = want end group by qid, want, id)) where rank <= 12"""
+
+
+@query(_SOFT)
+def fts_soft(spark, d):
+    return search.soft_layer(search.postings(documents(spark, d)), item_queries(spark, d))
+
+
+_EXACT = f"""select qid, id, rank from (select *, row_number() over (partition by qid order by len, id) as rank from (
+    select qid, id, length(text) as len from {_DOCS} s join (select qid, lower({_STRIP("q")}) as needle from {_QUERIES} where len(list_distinct({_TERMS("q")})) between 1 and 5) w on contains(lower(text), needle))) where rank <= 25"""
+
+
+@query(_EXACT)
+def exact_phrase(spark, d):
+    return search.exact_layer(documents(spark, d), item_queries(spark, d))
+
+
+_FUSE = lambda layers: f"""with layers as ({layers}),
+    f as (select qid, id, sum(part) as part, max(sem) as sem, bool_or(exact) as exact from layers group by qid, id),
+    s as (select f.*, s.source_kind, s.project, s.created, round(part + case when exact then 0.02 else 0.0 end + case when s.source_kind in ('doc', 'session', 'git_commit', 'code') and regexp_matches(s.created, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') and try_cast(s.created as date) is not null
+        then 0.05 * greatest(0.0, 1.0 - greatest(date_diff('day', try_cast(s.created as date), date '{AS_OF}'), 0) / 730.0) else 0.0 end, 9) as score from f join {_DOCS} s using (id))
+    select qid, rank, id, source_kind, project, score from (select *, row_number() over (partition by qid order by score desc, coalesce(sem, 0.0) desc, id) as rank from s) where rank <= 12"""
+_KEYWORD = f"""select qid, id, 2.4 / (60.0 + rank) as part, null::double as sem, true as exact from ({_EXACT}) union all select qid, id, 1.6 / (60.0 + rank), null, false from ({_STRICT}) union all select qid, id, 0.35 / (60.0 + rank), null, false from ({_SOFT})"""
+
+
+@query(_FUSE(_KEYWORD))
+def hybrid_keyword(spark, d):
+    return search.search(documents(spark, d), item_queries(spark, d), as_of=AS_OF, keyword_only=True).select("qid", "rank", "id", "source_kind", "project", "score")
+
+
+# --- vectors ----------------------------------------------------------------------------------------------------------
+
+
+def vector_queries(spark, d):
+    return load(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+_COS = lambda a, b: f"round(list_cosine_similarity({a}::double[], {b}::double[]), 9)"
+_VECTORS = f"""select qid, id, rank, sem from (select *, row_number() over (partition by qid order by sem desc, id) as rank from (
+    select q.vec_id as qid, e.vec_id as id, {_COS("q.embedding", "e.embedding")} as sem from embeddings q, embeddings e where q.vec_id % 50 = 0)) where rank <= 80"""
+
+
+@query(_VECTORS)
+def vector_topk(spark, d):
+    return search.vector_layer(load(spark, d, "embeddings"), vector_queries(spark, d), id_col="vec_id")
+
+
+def paired(spark, d):
+    """documents with the vector of the same number, where there is one."""
+    return documents(spark, d).join(load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+
+
+@query(
+    _FUSE(
+        f"""{_KEYWORD} union all select qid, id, 1.0 / (60.0 + rank), sem, false from (select qid, id, sem, row_number() over (partition by qid order by sem desc, id) as rank from (
+        select q.qid, e.vec_id::varchar as id, {_COS("v.embedding", "e.embedding")} as sem from {_QUERIES} q join embeddings v on v.vec_id = q.qid // 10 join embeddings e on e.vec_id in (select doc_id from documents))) where rank <= 80"""
+    )
+)
+def hybrid_full(spark, d):
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    q = item_queries(spark, d).withColumn("item", (F.col("qid") / 10).cast("long")).join(vectors, "item", "left").drop("item")
+    return search.search(paired(spark, d), q, as_of=AS_OF).select("qid", "rank", "id", "source_kind", "project", "score")
+
+
+@query(
+    f"""with w as (select q.qid, list_filter(regexp_split_to_array(lower({_STRIP("q.q")}), '\\s+'), lambda t: true) as terms, v.embedding as v from {_QUERIES} q join embeddings v on v.vec_id = q.qid // 10 where {_STRIP("q.q")} <> ''),
+    r as (select s.id, lower(concat_ws(chr(10), s.title, s.text)) as blob, e.embedding as e from {_DOCS} s left join embeddings e on e.vec_id::varchar = s.id),
+    s as (select qid, id, case when e is null then 0.0 else list_cosine_similarity(e::double[], v::double[]) end as cos, len(list_filter(terms, lambda t: not contains(blob, t))) = 0 as kw from r, w)
+    select qid, id, score, rank from (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from (select qid, id, round(cos + case when kw then 0.3 else 0.0 end, 9) as score from s where cos > 0.15 or kw)) where rank <= 20"""
+)
+def linear_scan(spark, d):
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    q = item_queries(spark, d).withColumn("item", (F.col("qid") / 10).cast("long")).join(vectors, "item").drop("item")
+    return search.linear_scan(paired(spark, d), q)
+
+
+# --- joins of the sources ---------------------------------------------------------------------------------------------
+
+
+@query("select source_id, string_agg(text, ' ' order by chunk_idx) as full_text, count(*) as n from (select distinct source_id, chunk_idx, text from chunks) group by source_id")
+def object_texts(spark, d):
+    rows = load(spark, d, "chunks").select("source_id", "chunk_idx", "text").distinct()
+    return rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda r: r["text"]), " ").alias("full_text"), F.count("*").alias("n"))
+
+
+@query(
+    """with t as (select *, row_number() over (partition by uuid order by title, notes, status, creation_date, area, project) as r from tasks where trashed = 0 and task_type = 0 and uuid is not null),
+    p as (select uuid, min(title) as ptitle from tasks where uuid is not null group by uuid), a as (select uuid, min(title) as atitle from areas group by uuid)
+    select 'things3:' || t.uuid as source_id, coalesce(nullif(p.ptitle, ''), nullif(a.atitle, '')) as context, case when t.status = 3 then 'done' else 'open' end as state,
+        strftime(make_timestamp((t.creation_date::bigint) * 1000000), '%Y-%m-%d') as created from t left join a on a.uuid = t.area left join p on p.uuid = t.project where t.r = 1 and t.creation_date is not null"""
+)
+def task_context(spark, d):
+    rows = records.tasks(load(spark, d, "tasks"), load(spark, d, "areas"))
+    return rows.where("created <> ''").select("source_id", "context", "state", "created")
+
+
+@query(
+    """with c as (select sha, repo, author, authored, subject, body, fetched_at, row_number() over (partition by repo, sha order by fetched_at, author, authored, subject, body) as r from commits where sha is not null)
+    select 'gitcommit:' || repo || ':' || sha as source_id, repo as project, subject as title, substring(authored, 1, 10) as created, length(substring('commit ' || substring(sha, 1, 8) || ' · ' || repo || ' · ' || substring(authored, 1, 10) || ' · ' || coalesce(author, '') || chr(10) || coalesce(subject, '') || chr(10) || chr(10) || coalesce(body, ''), 1, 4000))::int as n from c where r = 1"""
+)
+def commit_objects(spark, d):
+    return records.commits(load(spark, d, "commits")).select("source_id", "project", "title", "created", F.length("full").alias("n"))
+
+
+@query()
+def last_class(spark, d):
+    rows = load(spark, d, "email_class").where("mid is not null")
+    return rows.groupBy("mid").agg(F.max_by("mail_class", F.coalesce("sender_domain", F.lit(""))).alias("mail_class"), F.count("*").alias("n"))
+
+
+@query(
+    r"""with m as (select source_id as mid, min(nullif(lower(regexp_extract(text, 'From:[^@\n]*@([A-Za-z0-9._-]+)', 1)), '')) as sender_domain from chunks where source_kind = 'email' and chunk_idx = 0 group by source_id),
+    f as (select m.mid, max(struct_pack(l := r.line_no, c := lower(r.mail_class))) as best from m join class_rules r on m.sender_domain = lower(r.sender_domain) or ends_with(m.sender_domain, '.' || lower(r.sender_domain)) group by m.mid)
+    select m.mid, m.sender_domain, f.best.c as mail_class from m left join f using (mid)"""
+)
+def domain_class(spark, d):
+    return classify.classify_domains(classify.mail_domains(load(spark, d, "chunks")), load(spark, d, "class_rules")).select("mid", "sender_domain", "mail_class")
+
+
+@query("select source_kind, count(*) as n from (select distinct id, source_kind from chunks c where embedding is null and not exists (select 1 from email_class e where lower(e.mail_class) in ('telemetry', 'reading') and e.mid = split_part(c.id, '#', 1))) group by source_kind")
+def embed_backlog(spark, d):
+    return classify.embed_backlog(load(spark, d, "chunks"), load(spark, d, "email_class")).groupBy("source_kind").agg(F.count("*").alias("n"))
+
+
+@query("select count(distinct c.source_id) as unclassified from chunks c where source_kind = 'email' and chunk_idx = 0 and not exists (select 1 from email_class e where e.mid = c.source_id)")
+def unclassified_mails(spark, d):
+    heads = load(spark, d, "chunks").where("source_kind = 'email' and chunk_idx = 0").select(F.col("source_id").alias("mid")).distinct()
+    return heads.join(load(spark, d, "email_class"), "mid", "left_anti").agg(F.count("*").alias("unclassified"))
+
+
+@query("select key, min(id) as first_id, min(nullif(created, '')) as oldest, count(*) as n from (select distinct id, created, trim(lower(title)) as key from chunks where source_kind = 'note' and title is not null) group by key")
+def oldest_per_title(spark, d):
+    rows = load(spark, d, "chunks").where("source_kind = 'note' and title is not null").select("id", "created", F.trim(F.lower("title")).alias("key")).distinct()
+    return rows.groupBy("key").agg(F.min("id").alias("first_id"), F.min(F.nullif("created", F.lit(""))).alias("oldest"), F.count("*").alias("n"))
+
+
+@query("select doc_id as keeper, copies from (select min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by text)")
+def first_of_copies(spark, d):
+    key = [F.xxhash64("text"), F.sha1(F.encode("text", "UTF-8"))]
+    return load(spark, d, "documents").where("text is not null").groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key)]).agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies")).select("keeper", "copies")
+
+
+@query("select id, label_rows, labels from (select id, count(*) as label_rows, count(distinct label) as labels from lang_labels group by id)")
+def labels_per_chunk(spark, d):
+    return load(spark, d, "lang_labels").groupBy("id").agg(F.count("*").alias("label_rows"), F.count_distinct("label").alias("labels"))
+
+
+# --- store ------------------------------------------------------------------------------------------------------------
+
+
+def snapshots(spark, d):
+    """An earlier and a later state of the order table as a store: keys, a hash, a vector that stands for the embedding."""
+    o = load(spark, d, "orders")
+    old = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("doc").alias("source_kind"), F.col("o_orderpriority").alias("project"), F.col("o_orderstatus").alias("content_hash"), F.array(F.col("o_totalprice").cast("float")).alias("embedding"))
+    new = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("doc").alias("source_kind"), F.col("o_orderpriority").alias("project"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("content_hash"))
+    return old, new
+
+
+@query(
+    """with o as (select o_orderkey::varchar as id, o_orderpriority as project, o_orderstatus as h from orders where o_orderstatus <> 'P'), n as (select o_orderkey::varchar as id, o_orderpriority as project, case when o_orderkey % 5 = 0 then 'X' else o_orderstatus end as h from orders where o_orderkey % 3 <> 0)
+    select coalesce(n.id, o.id) as id, coalesce(n.project, o.project) as project, coalesce(n.h, o.h) as content_hash, (o.id is not null and (n.id is null or n.h = o.h)) as has_vector from o full join n on o.id = n.id"""
+)
+def upsert_merge(spark, d):
+    old, new = snapshots(spark, d)
+    return store.upsert(old, new).select("id", "project", "content_hash", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+def _seen(spark, d):
+    """What a run saw: every chunk but those of two weekdays' hashes."""
+    return load(spark, d, "chunks").where(~F.substring("content_hash", 1, 1).isin("0", "7", "c")).select("id", "source_kind", "project").distinct()
+
+
+_KEPT = lambda gone: f"select source_kind, count(distinct id) as n from chunks c where not ({gone}) group by source_kind"
+
+
+@query(_KEPT("source_kind in ('note', 'doc', 'fyr') and substring(content_hash, 1, 1) in ('0', '7', 'c')"))
+def prune_kinds(spark, d):
+    s = store.SourceStatus
+    status = {"note": s.COMPLETE, "doc": s.COMPLETE, "fyr": s.COMPLETE, "email": s.PARTIAL, "things3": s.UNAVAILABLE, "session": s.UNCHANGED}
+    return store.prune(load(spark, d, "chunks"), _seen(spark, d), status).groupBy("source_kind").agg(F.count_distinct("id").alias("n"))
+
+
+@query(_KEPT("source_kind in ('code', 'git_commit') and project in ('pebble-web', 'tide-notes') and substring(content_hash, 1, 1) in ('0', '7', 'c')"))
+def prune_projects(spark, d):
+    s = store.SourceStatus
+    seen = _seen(spark, d).where(F.col("project").isin("pebble-web", "tide-notes"))
+    return store.prune(load(spark, d, "chunks"), seen, {"code": s.COMPLETE, "git_commit": s.COMPLETE}).groupBy("source_kind").agg(F.count_distinct("id").alias("n"))
+
+
+@query()
+def source_fingerprints(spark, d):
+    return store.fingerprint(load(spark, d, "chunks").select(F.col("source_kind").alias("kind"), F.col("id").alias("path"), F.col("updated").alias("mtime"), F.length("text").alias("size")).distinct())
+
+
+@query(
+    rf"""with f as (select source_id, string_agg(text, ' ' order by chunk_idx) as full_text from (select distinct source_id, chunk_idx, text from chunks where source_kind = 'screenshot') group by source_id),
+    s as (select source_id, string_split_regex(regexp_extract(full_text, '\[([^\]]*)\]', 1), ',\s*') as labels, length({_STRIP(r"regexp_replace(full_text, '^[^\[\n]*\[[^\]]*\]', '')")})::int as ocr_len from f)
+    select source_id, ocr_len, case when ocr_len >= 200 and not list_has_any(labels, {classify.SCENE}) then 'text' when ocr_len >= 200 then 'mixed' else 'unassigned' end as bucket from s"""
+)
+def triage_rules(spark, d):
+    return classify.triage(load(spark, d, "chunks"))
+
+
+# --- evaluation, embedding, streams -----------------------------------------------------------------------------------
+
+
+@query(
+    f"""with r as ({_FUSE(_KEYWORD)}), rel as (select q.qid, s.id from {_QUERIES} q join {_DOCS} s on contains(s.text, regexp_extract(q.q, '([A-Z][a-z]{{3,}})', 1)) where regexp_extract(q.q, '([A-Z][a-z]{{3,}})', 1) <> ''),
+    k as (select q.qid, min(rank) as first_rank from {_QUERIES} q left join (select r.qid, r.rank from r join rel using (qid, id)) x using (qid) group by q.qid)
+    select count(*) as n, round(avg(case when first_rank <= 10 then 1.0 else 0.0 end), 9) as recall_at_k, round(avg(case when first_rank <= 10 then 1.0 / first_rank else 0.0 end), 9) as mrr from k"""
+)
+def eval_metrics(spark, d):
+    q = item_queries(spark, d)
+    names = F.broadcast(q.select("qid", F.regexp_extract("q", "([A-Z][a-z]{3,})", 1).alias("name")).where("name <> ''"))
+    relevant = documents(spark, d).join(names, F.contains("text", F.col("name"))).select("qid", "id")
+    hits = search.search(documents(spark, d), q, as_of=AS_OF, keyword_only=True)
+    return evaluate.metrics(evaluate.hit_ranks(hits, relevant, q))
+
+
+@query()
+def search_lines(spark, d):
+    return search.to_jsonl(search.search(documents(spark, d), item_queries(spark, d), as_of=AS_OF, keyword_only=True))
+
+
+@query()
+def search_snippets(spark, d):
+    q = item_queries(spark, d)
+    hits = search.search(documents(spark, d), q, as_of=AS_OF, keyword_only=True).select("qid", "rank", "id")
+    return hits.join(documents(spark, d).select("id", "text"), "id").join(F.broadcast(q), "qid").select("qid", "rank", "id", search.snippet(F.col("text"), F.col("q")).alias("snippet"))
+
+
+@query()
+def embed_pending(spark, d):
+    backlog = classify.embed_backlog(load(spark, d, "chunks"), load(spark, d, "email_class"))
+    return embedding.embed(backlog.select("id", "text"))
+
+
+@query()
+def parse_mails(spark, d):
+    mails = load(spark, d, "chunks").where("source_kind = 'email'").select("id", "text").distinct()
+    return records.mails(mails.select(F.encode(F.regexp_replace("text", r"^([^\n]*)\n", "Subject: $1\n"), "UTF-8").alias("raw"), F.col("id").alias("origin")))
+
+
+@query(
+    """with s as (select distinct * from mail_sync), m as (select mid, max(attempt) as attempts, bool_or(outcome = 'ok') as done, max(case when outcome = 'ok' then internal_ms end) as ms from s where mid is not null group by mid)
+    select mid, attempts, done, ms from m"""
+)
+def sync_state(spark, d):
+    return incremental.sync_state(load(spark, d, "mail_sync"))
+
+
+@query(
+    """with m as (select mid, bool_or(outcome = 'ok') as done, max(case when outcome = 'ok' then internal_ms end) as ms from mail_sync where mid is not null group by mid)
+    select max(ms) as watermark_ms, max(ms) - 2 * 86400000 as resume_ms, count(*) filter (where not done) as retry from m"""
+)
+def sync_watermark(spark, d):
+    return incremental.watermark(incremental.sync_state(load(spark, d, "mail_sync")))
+
+
+@query("select mid, min(sync_id) as first_sync, max(attempt) as attempts, count(*) as n from (select distinct * from mail_sync where mid is not null) group by mid")
+def stream_mail_sync(spark, d):
+    return incremental.run_available(spark, d)
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
+def stream_events(spark, d):
+    return incremental.drain_events(spark, d)
