@@ -31,4 +31,5 @@ def metrics(ranks: DataFrame, k: int = 10) -> DataFrame:
 def nearest_rank(values: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     """One row (value): the element at the half-even rounded index (n - 1) * share of the sorted values; for few values, as latencies are."""
     ordered = values.where(F.col(column).isNotNull()).agg(F.array_sort(F.collect_list(column)).alias("v"))
-    return ordered.select(F.try_element_at("v", (F.bround((F.size("v") - 1) * share) + 1).cast("int")).alias("value"))
+    at = (F.bround((F.size("v") - 1) * share) + 1).cast("int")
+    return ordered.select(F.when(F.size("v") > 0, F.try_element_at("v", F.greatest(at, F.lit(1)))).alias("value"))
