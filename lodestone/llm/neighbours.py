@@ -57,7 +57,8 @@ def mean_direction(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.array([r["s"] / max(r["n"], 1) for r in sorted(rows, key=lambda r: r["i"])])
 
 
-def _router(dim: int, mean: np.ndarray, tables: int, fine: int) -> Callable:
+def _router(dim: int, mean: np.ndarray, tables: int, width: int, fine: int) -> Callable:
+    """Cells by the leading of the first `width` axes (all in one for 0), cut again by the leading of `fine` axes of a second rotation."""
     turns = _rotations(dim, tables)
 
     def leading(z: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def _router(dim: int, mean: np.ndarray, tables: int, fine: int) -> Callable:
             x = _unit(raw) - mean
             packed = [v.tobytes() for v in raw]
             for t in range(tables):
-                cell = leading(x @ turns[2 * t])
+                cell = leading((x @ turns[2 * t])[:, :width]) if width else np.zeros(len(b), dtype=np.int64)
                 if fine > 1:
                     cell = cell * (2 * fine) + leading((x @ turns[2 * t + 1])[:, :fine])
                 yield pd.DataFrame({"cell": cell.astype(np.int64) * tables + t, "vid": b["vid"], "vec": packed})
@@ -161,8 +162,10 @@ def neighbours(rows: DataFrame, k: int = 10, floor: float = 0.9, dim: int = 64,
     )
     n = reps.count()
     mean = mean_direction(reps, dim)
-    split = int(np.clip(round(n / (4 * dim * CELL)), 1, dim))
-    routed = reps.select("vid", "vec").mapInPandas(_router(dim, mean, tables, split), "cell long, vid long, vec binary")
+    # about CELL vectors a cell at any size: one cell, then up to 2 * dim, then those cut again
+    width = int(min(dim, round(n / (2 * CELL)))) if n > CELL else 0
+    split = int(np.clip(round(n / (4 * dim * CELL)), 1, dim)) if width == dim else 1
+    routed = reps.select("vid", "vec").mapInPandas(_router(dim, mean, tables if width else 1, width, split), "cell long, vid long, vec binary")
     hot = small(table_cut(routed.groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))))
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("side")))
