@@ -48,11 +48,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition before costly per-row work, only where the scan gives fewer partitions than the cluster has cores."""
+    """Round-robin repartition before costly per-row work, only where a scan gives fewer partitions than the cluster has cores.
+
+    A plan with a shuffle is left as it is: asking for its partitions would run it.
+    """
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString() or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def hash_sample(rows: DataFrame, column: str, limit: int) -> list[str]:

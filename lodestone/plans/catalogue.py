@@ -9,7 +9,7 @@ from lodestone.functions import text as X
 from lodestone.functions.runtime import load
 from lodestone.operators import chunkers, classify, embedding, evaluate, search, store
 from lodestone.operators.timestamps import normalised_instants
-from lodestone.sources import records
+from lodestone.sources import readers, records
 from lodestone.streaming import incremental
 
 QUERIES: dict = {}
@@ -335,6 +335,34 @@ def labels_per_chunk(spark, d):
     return load(spark, d, "lang_labels").groupBy("id").agg(F.count("*").alias("label_rows"), F.count_distinct("label").alias("labels"))
 
 
+_NOISE = " or ".join(f"contains(text, '{m}')" for m in readers.SESSION_NOISE)
+
+
+@query(f"select source_kind, count(*) as n, sum(length(text))::bigint as chars from chunks where length(text) <= 4000 and {_STRIP('text')} <> '' and not ({_NOISE}) group by source_kind")
+def noise_free(spark, d):
+    return readers.noise_free(load(spark, d, "chunks"), "text", 4000).groupBy("source_kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(
+    """with t as (select uuid, title, notes, status, case when status = 3 then (creation_date * 1000)::bigint::varchar when trashed = 1 then '2020-01-02T03:04' else creation_date::bigint::varchar end as created_at from tasks where uuid is not null),
+    o as (select *, row_number() over (partition by uuid order by title, created_at) as r from t)
+    select 'fyr:' || uuid as source_id, coalesce(case when try_cast(created_at as double) is null then substring(created_at, 1, 10) else strftime(make_timestamp((case when created_at::double > 1e11 then created_at::double / 1000 else created_at::double end * 1000000)::bigint), '%Y-%m-%d') end, '') as created,
+        coalesce(title, '') || ' [?/' || coalesce(status::varchar, '?') || ']' || coalesce(chr(10) || nullif(notes, ''), '') as "full" from o where r = 1"""
+)
+def graph_tasks(spark, d):
+    t = load(spark, d, "tasks")
+    created = F.when(F.col("status") == 3, (F.col("creation_date") * 1000).cast("long").cast("string")).when(F.col("trashed") == 1, "2020-01-02T03:04").otherwise(F.col("creation_date").cast("long").cast("string"))
+    rows = t.select("uuid", F.col("title").alias("name"), F.col("notes").alias("summary"), F.col("status").cast("string").alias("status"), F.lit(None).cast("string").alias("external_source"), created.alias("created_at"))
+    return records.graph_tasks(rows).select("source_id", "created", "full")
+
+
+@query("""select 'item' || item_id as case_id, contains(lower(question || chr(10) || text), lower(regexp_extract(question, '([A-Z][a-z]{3,})', 1))) and contains(lower(lang), 's') as met from eval_items""")
+def expectations(spark, d):
+    name = F.regexp_extract("question", "([A-Z][a-z]{3,})", 1)
+    e = F.struct(name.alias("text"), F.create_map(F.lit("lang"), F.lit("s")).alias("fields"))
+    return load(spark, d, "eval_items").select(F.concat(F.lit("item"), "item_id").alias("case_id"), evaluate.matches(F.concat_ws("\n", "question", "text"), {"lang": F.col("lang")}, e).alias("met"))
+
+
 # --- store ------------------------------------------------------------------------------------------------------------
 
 
@@ -377,6 +405,30 @@ def prune_projects(spark, d):
     return store.prune(load(spark, d, "chunks"), seen, {"code": s.COMPLETE, "git_commit": s.COMPLETE}).groupBy("source_kind").agg(F.count_distinct("id").alias("n"))
 
 
+@query(
+    """with v as (select vec_id, [round(x::double, 6) for x in embedding] as vec from embeddings)
+    select c.source_kind, count(*) as n, count(v.vec_id) as fresh, round(sum(case when v.vec is not null then v.vec[1] else 0 end), 4) as total from (select d.doc_id, d.source_kind from documents d) c left join v on v.vec_id = c.doc_id group by c.source_kind"""
+)
+def vector_update(spark, d):
+    rows = documents(spark, d).withColumn("embedding", F.lit(None).cast("array<float>"))
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    done = store.set_vectors(rows, vectors)
+    return done.groupBy("source_kind").agg(F.count("*").alias("n"), F.count("embedding").alias("fresh"), F.round(F.sum(F.coalesce(F.round(F.get("embedding", F.lit(0)).cast("double"), 6), F.lit(0.0))), 4).alias("total"))
+
+
+@query()
+def changed_sources(spark, d):
+    listing = load(spark, d, "chunks").select(F.col("source_kind").alias("kind"), F.col("id").alias("path"), F.col("updated").alias("mtime"), F.length("text").alias("size")).distinct()
+    later = listing.withColumn("mtime", F.when(F.col("kind") == "note", F.concat("mtime", F.lit("!"))).otherwise(F.col("mtime")))
+    return store.changed_kinds(store.fingerprint(later), store.fingerprint(listing))
+
+
+@query()
+def next_fetches(spark, d):
+    log = load(spark, d, "mail_sync")
+    return incremental.next_batch(log.where("mid is not null").groupBy("mid").agg(F.max("internal_ms").alias("internal_ms")), incremental.sync_state(log))
+
+
 @query()
 def source_fingerprints(spark, d):
     return store.fingerprint(load(spark, d, "chunks").select(F.col("source_kind").alias("kind"), F.col("id").alias("path"), F.col("updated").alias("mtime"), F.length("text").alias("size")).distinct())
