@@ -29,7 +29,16 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+_END = r"""case when length(text) - s <= 750 then length(text) else s + coalesce(nullif(greatest(length(regexp_extract(substring(text, s + 1, 750), '(?s)^.{374,748}\n\n')), length(regexp_extract(substring(text, s + 1, 750), '(?s)^.{373,747}\n\r\n'))), 0),
+    nullif(length(regexp_extract(substring(text, s + 1, 750), '(?s)^.{375,749}\n')), 0), nullif(length(regexp_extract(substring(text, s + 1, 750), '(?s)^.{374,748}[.!?] ')), 0), nullif(length(regexp_extract(substring(text, s + 1, 750), '(?s)^.{375,749} ')), 0), 750) end"""
+_GAP = r"length(regexp_extract(substring(text, e - 80, 80), '^[^ \n]*'))"
+
+
+@query(
+    f"""with recursive p as (select distinct id, text, 0 as piece_no, 0::bigint as s from chunks where source_kind not in ('git_commit', 'code') and length(text) > 750
+    union all select id, text, piece_no + 1, e - 80 + case when {_GAP} < 80 then {_GAP} else 0 end from (select *, {_END} as e from p) where e < length(text))
+    select id, piece_no, s::int as start_pos, ({_END})::int as end_pos from p"""
+)
 def p5_found(spark, d):
     return split_oversized(load(spark, d, "chunks").where(~F.col("source_kind").isin("git_commit", "code")))
 
