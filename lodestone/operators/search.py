@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.functions.runtime import small
+from lodestone.functions.runtime import BROADCAST_ROWS, small
 from lodestone.schema import DEFAULT, PROJECT_KINDS, Config
 
 
@@ -139,9 +139,12 @@ def rrf(rank: Column, k: int = DEFAULT.rrf_k) -> Column:
     return F.lit(1.0) / (F.lit(float(k)) + rank)
 
 
-def fuse(chunks: DataFrame, exact: DataFrame | None, strict: DataFrame | None, soft: DataFrame | None, semantic: DataFrame | None, as_of: str, limit: int = 12, config: Config = DEFAULT) -> DataFrame:
+def fuse(chunks: DataFrame, exact: DataFrame | None, strict: DataFrame | None, soft: DataFrame | None, semantic: DataFrame | None, as_of: str, limit: int = 12, config: Config = DEFAULT, most: int | None = None) -> DataFrame:
     """(qid, rank, id, source_id, source_kind, project, title, created, score, sem, exact): layers summed by id, recency for
-    project records added, one hit per source object, the best `limit` per query."""
+    project records added, one hit per source object, the best `limit` per query.
+
+    most: how many fused rows there can be at most, by the layers' limits; up to BROADCAST_ROWS they are broadcast to the payload.
+    """
     parts = []
     none = F.lit(None).cast("double")
     if exact is not None:
@@ -156,11 +159,13 @@ def fuse(chunks: DataFrame, exact: DataFrame | None, strict: DataFrame | None, s
     for p in parts[1:]:
         layers = layers.unionByName(p)
     fused = layers.groupBy("qid", "id").agg(F.sum("part").alias("part"), F.max("sem").alias("sem"), F.bool_or("exact").alias("exact"))
-    payload = chunks.select("id", "source_id", "source_kind", "project", "title", "created").dropDuplicates(["id"])
+    payload = chunks.select("id", "source_id", "source_kind", "project", "title", "created")
     fresh = F.when(F.col("source_kind").isin(*PROJECT_KINDS), config.recency_weight * X.recency(F.col("created"), F.lit(as_of).cast("date"), config.recency_days)).otherwise(0.0)
     score = F.round(F.col("part") + F.when(F.col("exact"), config.exact_bonus).otherwise(0.0) + fresh, 9)
-    scored = payload.join(small(fused), "id").withColumn("score", score)
+    fused = F.broadcast(fused) if most is not None and most <= BROADCAST_ROWS else fused
+    scored = payload.join(fused, "id").withColumn("score", score)
     order = [F.desc("score"), F.desc(F.coalesce("sem", F.lit(0.0))), F.col("id")]
+    # repeated rows of an id fall to this ranking too, so the payload needs no distinct of its own
     one = _best(scored, ["qid", "source_id"], order, 1).drop("rank")
     return _best(one, ["qid"], order, limit).select("qid", "rank", "id", "source_id", "source_kind", "project", "title", "created", "score", "sem", "exact")
 
@@ -169,7 +174,8 @@ def search(chunks: DataFrame, queries: DataFrame, index: DataFrame | None = None
     """The hybrid search of every query; without a vector column in queries, or with keyword_only, by keywords alone."""
     index = postings(chunks) if index is None else index
     semantic = vector_layer(chunks, queries, config.semantic_limit) if "vector" in queries.columns and not keyword_only else None
-    return fuse(chunks, exact_layer(chunks, queries, config), strict_layer(index, queries, config.keyword_limit), soft_layer(index, queries, config), semantic, as_of, limit, config)
+    most = queries.count() * (config.exact_limit + config.keyword_limit + config.soft_terms * config.soft_rows + config.semantic_limit)
+    return fuse(chunks, exact_layer(chunks, queries, config), strict_layer(index, queries, config.keyword_limit), soft_layer(index, queries, config), semantic, as_of, limit, config, most)
 
 
 def linear_scan(rows: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
