@@ -28,14 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return known or spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df materialised in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table_cut(df: DataFrame) -> DataFrame:
-    """df written once as parquet in the shared folder and read again; cheaper on disk than checkpoint() for wide rows."""
+    """df written once as parquet in the shared folder and read again: survives the loss of executors, and costs less disk than checkpoint()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
