@@ -230,4 +230,4 @@ def restore(rows: DataFrame, columns: tuple[str, ...] = ("text", "title"), id_co
     # the affected values are picked before anything of the text is shuffled
     values = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("value")) for c in columns])).alias("v")).select("id", "v.col_name", "v.value")
     fixed = F.aggregate("swaps", F.col("value"), lambda s, w: F.replace(s, w["token"], w["original"]))
-    return values.where(F.col("value").isNotNull()).join(small(table_cut(per_value)), ["id", "col_name"]).groupBy("id", "col_name").agg(F.min(fixed).alias("restored"))
+    return values.where(F.col("value").isNotNull()).join(small(table_cut(per_value), 20_000), ["id", "col_name"]).groupBy("id", "col_name").agg(F.min(fixed).alias("restored"))
