@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.runtime import spread
 from lodestone.functions.text import content_hash, strip, windows, without_nul
 from lodestone.schema import DEFAULT
 
@@ -26,7 +27,7 @@ def chunk_rows(objects: DataFrame, kind: str | Column, size: int = DEFAULT.chunk
     kind = F.lit(kind) if isinstance(kind, str) else kind
     created = F.coalesce(F.col("created"), F.lit(""))
     return (
-        objects.withColumn("_body", body)
+        spread(objects).withColumn("_body", body)
         .where(F.length("_body") > 0)
         .select("source_id", kind.alias("source_kind"), "project", without_nul(F.col("title")).alias("title"), created.alias("created"), F.coalesce(F.nullif(F.col("updated"), F.lit("")), created).alias("updated"), F.posexplode(parts).alias("chunk_idx", "text"))
         .withColumn("id", F.concat("source_id", F.lit("#"), F.col("chunk_idx").cast("string")))

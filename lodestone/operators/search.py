@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.functions.runtime import BROADCAST_ROWS, small
+from lodestone.functions.runtime import BROADCAST_ROWS, small, spread
 from lodestone.schema import DEFAULT, PROJECT_KINDS, Config
 
 
@@ -90,7 +90,7 @@ def exact_layer(chunks: DataFrame, queries: DataFrame, config: Config = DEFAULT)
     queries, own = _scope_of(queries)
     terms = F.size(X.query_terms(F.col("q")))
     wanted = small(queries.where(terms.between(1, config.exact_terms)).select("qid", *own, F.lower(X.strip(F.col("q"))).alias("needle")))
-    rows = chunks.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "source_kind", "project", "text")
+    rows = spread(chunks.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "source_kind", "project", "text"))
     hits = _scoped(rows.join(wanted, F.contains(F.lower("text"), F.col("needle"))), own).select("qid", "id", F.length("text").alias("len")).distinct()
     return _best(hits, ["qid"], [F.col("len"), F.col("id")], config.exact_limit).select("qid", "id", "rank")
 
