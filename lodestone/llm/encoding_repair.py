@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.runtime import small, table_cut
+from lodestone.functions.runtime import small, spread, table_cut
 
 # Single-byte encodings that such text has passed through.
 SINGLE = ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866"]
@@ -173,7 +173,8 @@ def suspicious_tokens(rows: DataFrame, columns: tuple[str, ...] = ("text", "titl
         F.when(F.col("v.value").rlike(r"\+[A-Za-z0-9/]{3}"), utf7).otherwise(none),
     )
     return (
-        rows.select(F.col(id_col).alias("id"), values.alias("v"))
+        spread(rows.select(F.col(id_col).alias("id"), *columns))
+        .select("id", values.alias("v"))
         .where(F.col("id").isNotNull() & F.col("v.value").isNotNull())
         .select("id", "v.col_name", F.explode(F.array_distinct(found)).alias("token"))
     )

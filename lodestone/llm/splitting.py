@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.runtime import spread
+
 #: Characters per slab; a long text is sliced into slabs once so that no step walks the whole text again.
 SLAB = 8192
 
@@ -51,9 +53,9 @@ def split_oversized(rows: DataFrame, limit: int = 750, overlap: int = 80, id_col
     empty = F.struct(at(0).alias("next"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
     turns = F.sequence(at(0), F.floor(F.col("_n") / at(half + 1 - overlap)).cast("int"))
     pieces = F.aggregate(turns, empty, step, lambda state: state["out"])
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where(F.col("id").isNotNull() & (n > limit))
     return (
-        rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-        .where(F.col("id").isNotNull() & (n > limit))
+        spread(texts)
         .select("id", n.alias("_n"), F.regexp_extract_all("_t", F.lit(rf"(?s).{{1,{SLAB}}}"), F.lit(0)).alias("_slabs"))
         .select("id", F.posexplode(pieces).alias("piece_no", "p"))
         .select("id", "piece_no", F.col("p.s").alias("start_pos"), F.col("p.e").alias("end_pos"))
