@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 _BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
 TOKEN = r"[\p{L}\p{N}]+"
 
-# Words that carry no search intent, by language, and generic words of search requests.
-ENGLISH = "a an and are as at be but by can did do does for from had has have how i if in into is it its me my no not of on or our out so than that the their them then there these they this to up us was we were what when where which who why will with would you your".split()
-SWEDISH = "alla att av bara blev bli de dem den denna det detta dig din du där efter ej eller en er ett finns från för ha hade han har hon hur här i in inte jag kan man med men mig min mot ni nu när och om oss på sin ska som så till upp ut vad var vart vi vid vilka vilken än är över".split()
-GENERIC = "document file find note old search show".split()
-STOP = sorted({*ENGLISH, *SWEDISH})
+# English words left out of queries, Swedish function words and generic search words left out of soft terms besides.
+ENGLISH = [
+    "a", "about", "an", "and", "are", "as", "at", "be", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "how", "i", "in",
+    "is", "it", "me", "my", "of", "on", "or", "our", "that", "the", "this", "to", "was", "were", "what", "when", "where", "which", "who", "why",
+    "said", "say", "with", "you",
+]
+SWEDISH = [
+    "och", "att", "det", "som", "en", "ett", "den", "de", "dem", "är", "var", "för", "med", "på", "av", "till", "från", "om", "men", "eller", "inte",
+    "jag", "du", "han", "hon", "vi", "ni", "man", "sig", "sin", "sitt", "har", "hade", "ska", "skulle", "kan", "kunde", "vill", "ville", "blir",
+    "blev", "här", "där", "när", "vad", "hur", "varför", "vilken", "vilka", "så", "då", "nu", "bara", "också", "efter", "under", "över", "mot",
+    "mig", "min", "mitt", "mina", "dig", "din", "ditt", "vara", "vid", "än",
+]
+GENERIC = ["archive", "find", "local", "look", "remember", "search", "semantic"]
+STOP = ENGLISH
+SOFT_STOP = [*SWEDISH, *GENERIC]
 
 
 def strip(c: Column) -> Column:
@@ -44,15 +54,15 @@ def tokens(c: Column) -> Column:
 
 
 def query_terms(c: Column, limit: int = 12) -> Column:
-    """The first distinct terms of a query without filler words and single characters."""
+    """The first distinct terms of a query without English filler words and single characters."""
     stop = F.array(*[F.lit(w) for w in STOP])
     return F.slice(F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))), 1, limit)
 
 
 def soft_terms(c: Column, limit: int = 12) -> Column:
-    """query_terms without generic search words, or query_terms itself where nothing else is left."""
+    """query_terms without Swedish function words and generic search words, or query_terms itself where nothing else is left."""
     terms = query_terms(c, limit)
-    rest = F.array_except(terms, F.array(*[F.lit(w) for w in GENERIC]))
+    rest = F.array_except(terms, F.array(*[F.lit(w) for w in SOFT_STOP]))
     return F.when(F.size(rest) > 0, rest).otherwise(terms)
 
 

@@ -78,9 +78,9 @@ def chunk_markdown(objects: DataFrame, kind: str = "doc", size: int = DEFAULT.ch
 
 # File extensions of the languages that have a grammar.
 LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "tsx", "rs": "rust", "go": "go", "java": "java",
-    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala",
-    "lua": "lua", "sh": "bash", "bash": "bash", "sql": "sql", "html": "html", "css": "css", "toml": "toml", "yaml": "yaml",
+    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx",
+    "rb": "ruby", "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp",
+    "cs": "c_sharp", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash", "bash": "bash", "lua": "lua", "ex": "elixir", "exs": "elixir",
 }
 
 

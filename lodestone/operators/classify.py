@@ -10,7 +10,10 @@ from lodestone.functions.runtime import small
 from lodestone.schema import SKIP_CLASSES
 
 # Labels that speak of a photographed scene rather than of text.
-SCENE = ["Outdoor", "Sky", "Plant", "Food", "Vehicle", "Person", "Animal", "Indoor", "Building", "Water"]
+SCENE = [
+    "People", "Person", "Face", "Selfie", "Beach", "Sky", "Sunset", "Sunrise", "Outdoor", "Water", "Sea", "Ocean", "Plant", "Tree", "Flower", "Food", "Meal",
+    "Animal", "Dog", "Cat", "Bird", "Mountain", "Landscape", "Snow", "Nature", "Sports", "Vehicle", "Car", "Room", "Interior Room", "Living Room", "Furniture", "Art",
+]
 
 
 def mail_domains(chunks: DataFrame) -> DataFrame:

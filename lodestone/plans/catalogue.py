@@ -32,7 +32,7 @@ _BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
 _STRIP = lambda c: rf"regexp_replace({c}, '^{_BLANK}|{_BLANK}$', '', 'g')"
 _TOKENS = lambda c: rf"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}]+')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP) + "]"
-_GENERIC = "[" + ", ".join(f"'{w}'" for w in X.GENERIC) + "]"
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in X.SOFT_STOP) + "]"
 # distinct terms in order: DuckDB's list_distinct does not keep order
 _TERMS = lambda c: f"list_filter({_TOKENS(c)}, lambda t: length(t) >= 2 and not list_contains({_STOP}, t))"
 _ORDERED = lambda c: f"list_filter({c}, lambda t, i: list_position({c}, t) = i)"

@@ -15,8 +15,12 @@ from lodestone.schema import DEFAULT
 from lodestone.sources.records import commits, first_of, git_log, mails, threads
 
 # Path parts that hold no documents, and markers of text that tools write into sessions.
-SKIPPED_PARTS = ["/.", "/node_modules/", "/venv/", "/__pycache__/", "/site-packages/", "/dist/", "/build/", "/target/"]
-SESSION_NOISE = ["<system-reminder>", "<command-name>", "<local-command-stdout>", "tool_result", "Caveat: The messages below", "[Request interrupted"]
+SKIPPED_PARTS = ["/archive/", "/vendor/", "/node_modules/", "/."]
+CODE_SKIPPED = ["/vendor/", "/node_modules/", "/.git/", "/dist/", "/build/", "/tmp/", "/coverage/", "/.venv/", "/target/", ".min.js", ".min.css"]
+SESSION_NOISE = [
+    "<system-reminder>", "This session is being continued", "Caveat:", "# CLAUDE.md", "Codebase and user instructions are shown below",
+    "<command-name>", "<local-command-stdout>", "DO NOT respond to these",
+]
 
 
 def messenger(spark: SparkSession, path: str) -> DataFrame:
@@ -142,7 +146,7 @@ def code_files(spark: SparkSession, root: str, repo: str, most: int = DEFAULT.co
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.substring_index("path", root.rstrip("/") + "/", -1)
     known = F.lower(F.regexp_extract(rel, r"\.([A-Za-z]+)$", 1)).isin(*LANGUAGES)
-    for part in SKIPPED_PARTS:
+    for part in CODE_SKIPPED:
         files = files.where(~F.contains(F.concat(F.lit("/"), rel), F.lit(part)))
     rows = files.where((F.col("length") <= most) & known).select(F.lit(repo).alias("repo"), rel.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("source"))
     return rows.where("source is not null")
