@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector: stable projections, kd-tree blocks and a chi-square stopping test inside routed cells.
 
 Rows are routed by the signed leading axis of a random (2-stable) rotation of the centred vectors, in several independent tables,
-so that one cell holds about CELL vectors. Inside a cell the vectors are projected to DIMS Gaussian coordinates and put in a kd-tree;
+so that one cell is home to about CELL vectors; each goes also to the cells that it is nearest to besides. Inside a cell the vectors are projected to DIMS Gaussian coordinates and put in a kd-tree;
 each leaf verifies other leaves by growing projected distance until a chi-square test says that a vector within reach would, with
 probability CONFIDENCE, have been met.
 """
@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 from lodestone.functions.runtime import small, table_cut
 
 CELL = 1024
-TABLES = 6
+TABLES = 3
+#: Cells of each table that a vector goes to, its own included: as cells get finer with the row count, near vectors part at one more axis.
+PROBES = 3
 DIMS = 8
 LEAF = 128
 #: Upper quantile of chi-square with DIMS=8 degrees of freedom at 0.999 (fixed value of the test).
 CHI2_8_999 = 26.125
 #: Cells above HOT vectors are worked off as pairs of blocks of that size, so no task holds more than two blocks.
-HOT = 8192
+HOT = 16384
+#: Pairs whose cosine is taken at once.
+PAIRS = 100_000
 
 
 def _rotations(dim: int, tables: int, seed: int = 7) -> np.ndarray:
@@ -57,13 +61,36 @@ def mean_direction(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.array([r["s"] / max(r["n"], 1) for r in sorted(rows, key=lambda r: r["i"])])
 
 
+def _shape(n: int, dim: int) -> tuple[int, int]:
+    """(width, fine) of the router, for about CELL vectors at home in a cell at any size: one cell, then up to 2 * dim, then those cut again."""
+    width = int(min(dim, round(n / (2 * CELL)))) if n > CELL else 0
+    return width, int(np.clip(round(n / (4 * dim * CELL)), 1, dim)) if width == dim else 1
+
+
+def _leading(z: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` leading signed axes of each row, the first foremost, and how far each lies behind the first."""
+    both = np.concatenate([z, -z], axis=1)
+    axes = np.argpartition(-both, min(most, both.shape[1]) - 1, axis=1)[:, :most]
+    axes = np.take_along_axis(axes, np.argsort(-np.take_along_axis(both, axes, axis=1), axis=1, kind="stable"), axis=1)
+    size = np.take_along_axis(both, axes, axis=1)
+    return axes, size[:, :1] - size
+
+
 def _router(dim: int, mean: np.ndarray, tables: int, width: int, fine: int) -> Callable:
-    """Cells by the leading of the first `width` axes (all in one for 0), cut again by the leading of `fine` axes of a second rotation."""
+    """Cells by the leading of the first `width` axes (all in one for 0), cut again by the leading of `fine` axes of a second rotation;
+    of each table the PROBES cells that take the least change of the vector."""
     turns = _rotations(dim, tables)
 
-    def leading(z: np.ndarray) -> np.ndarray:
-        axis = np.abs(z).argmax(axis=1)
-        return 2 * axis + (z[np.arange(len(z)), axis] > 0)
+    def cells(x: np.ndarray, t: int) -> np.ndarray:
+        if not width:
+            return np.zeros((len(x), 1), dtype=np.int64)
+        cell, behind = _leading((x @ turns[2 * t])[:, :width], PROBES)
+        if fine > 1:
+            part, lag = _leading((x @ turns[2 * t + 1])[:, :fine], PROBES)
+            cell = (cell[:, :, None] * (2 * fine) + part[:, None, :]).reshape(len(x), -1)
+            cost = (behind[:, :, None] ** 2 + lag[:, None, :] ** 2).reshape(len(x), -1)
+            cell = np.take_along_axis(cell, np.argsort(cost, axis=1, kind="stable")[:, :PROBES], axis=1)
+        return cell.astype(np.int64)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -73,10 +100,8 @@ def _router(dim: int, mean: np.ndarray, tables: int, width: int, fine: int) -> C
             x = _unit(raw) - mean
             packed = [v.tobytes() for v in raw]
             for t in range(tables):
-                cell = leading((x @ turns[2 * t])[:, :width]) if width else np.zeros(len(b), dtype=np.int64)
-                if fine > 1:
-                    cell = cell * (2 * fine) + leading((x @ turns[2 * t + 1])[:, :fine])
-                yield pd.DataFrame({"cell": cell.astype(np.int64) * tables + t, "vid": b["vid"], "vec": packed})
+                for cell in cells(x, t).T:
+                    yield pd.DataFrame({"cell": cell * tables + t, "vid": b["vid"], "vec": packed})
 
     return route
 
@@ -118,10 +143,14 @@ def search_block(x: np.ndarray, block: np.ndarray, k: int, floor: float) -> tupl
         a, b = mine[a], others[b]
         keep = (a != b) & ((block[a] != block[b]) | (block[a] == 0))
         a, b = a[keep], b[keep]
-        cos = np.einsum("ij,ij->i", x[a], x[b])
+        cos = np.concatenate([np.einsum("ij,ij->i", x[a[at : at + PAIRS]], x[b[at : at + PAIRS]]) for at in range(0, len(a), PAIRS)] or [np.zeros(0)])
         keep = cos >= floor
-        found.append((a[keep], b[keep], cos[keep]))
+        found.append(_best(a[keep], b[keep], cos[keep], k))
     a, b, cos = (np.concatenate(v) for v in zip(*found))
+    return a, b, cos
+
+
+def _best(a: np.ndarray, b: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((-cos, a))
     a, b, cos = a[order], b[order], cos[order]
     start = np.searchsorted(a, a, side="left")
@@ -162,9 +191,7 @@ def neighbours(rows: DataFrame, k: int = 10, floor: float = 0.9, dim: int = 64,
     )
     n = reps.count()
     mean = mean_direction(reps, dim)
-    # about CELL vectors a cell at any size: one cell, then up to 2 * dim, then those cut again
-    width = int(min(dim, round(n / (2 * CELL)))) if n > CELL else 0
-    split = int(np.clip(round(n / (4 * dim * CELL)), 1, dim)) if width == dim else 1
+    width, split = _shape(n, dim)
     routed = reps.select("vid", "vec").mapInPandas(_router(dim, mean, tables if width else 1, width, split), "cell long, vid long, vec binary")
     hot = small(table_cut(routed.groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))))
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")

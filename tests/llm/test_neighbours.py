@@ -53,3 +53,37 @@ def test_block_search_keeps_ties():
     x = np.tile(np.eye(1, 64), (5, 1))
     a, b, cos = N.search_block(x, np.zeros(5, int), 2, 0.9)
     assert len(a) == 20 and F is not None
+
+
+def test_fine_cells_keep_near_pairs():
+    """The router as it is for 2.4 million vectors, where cells are cut a second time."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((4000, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.92 * x + np.sqrt(1 - 0.92**2) * y
+    route = N._router(64, np.zeros(64), N.TABLES, 64, 9)
+    met = [set() for _ in range(4000)]
+    for side in (x, y):
+        batch = N.pd.DataFrame({"vid": range(4000), "vec": list(side.astype(np.float32))})
+        cells = [set() for _ in range(4000)]
+        for part in route([batch]):
+            for v, c in zip(part["vid"], part["cell"]):
+                cells[v].add(c)
+        met = cells if side is x else [a & b for a, b in zip(met, cells)]
+    assert sum(map(bool, met)) / 4000 >= 0.97
+
+
+def test_against_brute_force_in_fine_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 1)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((150, 64))
+    x = np.repeat(centres, 6, axis=0) + 0.29 * rng.standard_normal((900, 64))
+    x = x.astype(np.float32)
+    ids = [f"v{k:04d}" for k in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, embedding array<float>")
+    got = {tuple(r) for r in N.similar_pairs(df).collect()}
+    want = brute(ids, x, 10, 0.9)
+    assert len(want) > 1000 and got <= want and len(got) / len(want) >= 0.98
