@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -432,22 +433,50 @@ def learn_repairs(rows: DataFrame, text_col: str = "text", id_col: str = "id") -
     return {r[0]: r[1] for r in found.select("token", "original").orderBy("token").limit(REPAIRS).collect()}
 
 
-def without_common_words(lexicon: dict[str, dict[str, int]], texts: list[str]) -> dict[str, dict[str, int]]:
-    """The lexicon without what the texts mostly write in lower case."""
-    lower: dict[str, int] = {}
-    upper: dict[str, int] = {}
-    for text in texts:
-        for w in _WORD.findall(text):
-            side = lower if w[0].islower() else upper
-            side[w.casefold()] = side.get(w.casefold(), 0) + 1
-    drop = {w for w, n in lower.items() if n > upper.get(w, 0)}
+def _case_counter(shared) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            tokens: Counter = Counter()
+            for text in b["text"]:
+                at = 0
+                for start, end in addresses(text):
+                    tokens.update(text[at:start].split())
+                    at = end
+                tokens.update(text[at:].split())
+            out: dict[str, list[int]] = {}
+            for token, n in tokens.items():
+                if "@" in token or "://" in token or "www." in token:
+                    continue
+                for w in _WORD.findall(token):
+                    if (low := w.casefold()) in known:
+                        out.setdefault(low, [0, 0])[not w[0].islower()] += n
+            yield pd.DataFrame([(w, *n) for w, n in out.items()], columns=["word", "lower", "upper"])
+
+    return run
+
+
+def common_words(rows: DataFrame, words: set[str], text_col: str = "text") -> set[str]:
+    """Those of the words that all rows together write in lower case more often than not, mail addresses and URLs aside.
+
+    One pass; a batch sends one row for each of the words it holds, summed before and after the shuffle.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    texts = spread(rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")))
+    seen = texts.mapInPandas(_case_counter(shared), "word string, lower long, upper long").groupBy("word").agg(F.sum("lower").alias("lower"), F.sum("upper").alias("upper"))
+    return {r["word"] for r in seen.where(F.col("lower") > F.col("upper")).select("word").collect()}
+
+
+def without_common_words(rows: DataFrame, lexicon: dict[str, dict[str, int]], text_col: str = "text") -> dict[str, dict[str, int]]:
+    """The lexicon without the names that the rows mostly write in lower case."""
+    drop = common_words(rows, {t for role, names in lexicon.items() if role != "town" for t in names}, text_col)
     return {role: {t: n for t, n in names.items() if role == "town" or t not in drop} for role, names in lexicon.items()}
 
 
 def fit(rows: DataFrame, lexicon: dict[str, dict[str, int]], text_col: str = "text", limit: int = TRAINING_TEXTS) -> tuple[dict, Field]:
-    """The lexicon without common words, and the field, from at most limit texts chosen by hash so that the choice is stable."""
+    """The lexicon without common words, counted over all texts, and the field, from at most limit texts chosen by hash so that the choice is stable."""
     texts = hash_sample(rows.where(F.length(text_col).between(1, 20000)), text_col, limit)
-    lexicon = without_common_words(lexicon, texts)
+    lexicon = without_common_words(rows, lexicon, text_col)
     return lexicon, train(texts, lexicon)
 
 

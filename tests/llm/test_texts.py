@@ -180,6 +180,15 @@ def test_mention_rows(spark):
     assert personal_data.find_mentions(df.where("false")).count() == 0
 
 
+def test_common_words_are_counted_over_all_texts(spark):
+    lower = ["nu kom ekman och skrev till anna.ekman@x.example"] * 4
+    rows = [(t,) for t in [*lower, "x " * 10001 + "Ekman Ekman Ekman Ekman Ekman", "Am am am https://x.example/ekman www.x.example/ekman", None]]
+    df = spark.createDataFrame(rows, "text string")
+    names = {"given": {"anna": 3, "am": 2}, "family": {"ekman": 4}, "town": {"am": 2}}
+    lexicon, _ = personal_data.fit(df, names)
+    assert lexicon == {"given": {"anna": 3}, "family": {"ekman": 4}, "town": {"am": 2}}
+
+
 # --- leakage
 
 
