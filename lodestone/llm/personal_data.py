@@ -29,9 +29,19 @@ ROUNDS = 6
 BIAS = 0.0
 
 _UP = "A-ZÅÄÖÉÈÜÆØÇÑÁÍÓÚÀÂÊÎÔŠŽ"
-_DOT = r"(?:\.|\s?[(\[]dot[)\]]\s?)"
-_AT = re.compile(r"@|[(\[](?:at|AT)[)\]]")
-_DOMAIN = re.compile(rf"\s?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,}}(?![\w@])")
+# The at sign and the dot as sv, en, de, da, no, fr, es, fi and ru spell them.
+_AT_WORD = r"(?:snabel-?a|kanel-?bulle|alfakrull|krøllalfa|krullalfa|klammeraffe|affenschwanz|arrobas?|arobase|miukumauku|ät-?merkki|at-?tecken|at-?tegn|собака)"
+_DOT_WORD = r"(?:dot|punktum|punkt|prick|point|punto|piste|точка)"
+_DOT = rf"(?:\.|\s?[(\[](?i:{_DOT_WORD})[)\]]\s?)"
+_AT = re.compile(rf"@|[(\[](?:at|AT|(?i:{_AT_WORD}))[)\]]")
+_LABELS = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_DOMAIN = re.compile(rf"\s?(?:{_LABELS}{_DOT})+[A-Za-z]{{2,}}(?![\w@])")
+_DOT_SPELLED = rf"(?:\s{_DOT_WORD}\s|{_DOT})"
+# a bare `at` is a common word, so that a known ending must close what follows it
+_ENDING = r"(?:com|org|net|info|edu|gov|eu|example|test|se|no|dk|fi|de|fr|es|uk|ru|us)"
+_SPELLED_AT = re.compile(rf"\s(?:{_AT_WORD}|at(?=\s(?:{_LABELS}{_DOT_SPELLED})*{_LABELS}\s{_DOT_WORD}\s{_ENDING}\b))(?=\s)", re.I)
+_SPELLED_DOMAIN = re.compile(rf"\s(?:{_LABELS}{_DOT_SPELLED})+[A-Za-z]{{2,}}(?![\w@])", re.I)
+_DOTS = ("dot", "punkt", "prick", "point", "punto", "piste", "точка")
 _NOT_LOCAL = re.compile(r"[^\w.+-]")
 # How the numbering plans of these countries are written.
 _EXT = r"(?:,?\s?(?:ext|x|anknytning|ankn|Durchwahl|poste)\.?\s?\d{1,5})?"
@@ -229,9 +239,13 @@ def name_candidates(text: str, given: dict[str, int], family: dict[str, int]) ->
 
 def addresses(text: str) -> list[tuple[int, int]]:
     """Mail addresses, also spaced or with at and dot in words: found from the at sign to both sides."""
+    anchors = [(m, _DOMAIN) for m in _AT.finditer(text)]
+    low = text.lower()
+    if any(w in low for w in _DOTS):
+        anchors = sorted([*anchors, *((m, _SPELLED_DOMAIN) for m in _SPELLED_AT.finditer(text))], key=lambda a: a[0].start())
     out, last = [], 0
-    for m in _AT.finditer(text):
-        domain = _DOMAIN.match(text, m.end())
+    for m, form in anchors:
+        domain = form.match(text, m.end())
         if not domain or m.start() < last:
             continue
         stop = m.start() - (text[m.start() - 1 : m.start()] == " ")

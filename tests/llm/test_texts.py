@@ -180,6 +180,20 @@ def test_mention_rows(spark):
     assert personal_data.find_mentions(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "address",
+    ["goran snabel-a kontor punkt example punkt org", "asa_ek83 snabel-a brf-kvarnen punkt example", "Rauta.Saga SNABEL-A example PUNKT net", "o.ek at mail dot x dot example", "o.ek arroba x punto example", "o.ek [snabel-a] x [punkt] example", "bo snabela x.example punkt org", "o.ek@x.example", "o.ek [at] x[dot]example"],
+)
+def test_spelled_out_addresses(address):
+    for text in (f"Skriv till {address}.\nSedan gick vi.", f"a;{address};b", address):
+        assert [text[s:e] for s, e in personal_data.addresses(text)] == [address]
+
+
+def test_words_that_only_look_like_an_address():
+    for text in ["look at the dot product", "we met at noon, dot", "Kom till mötet, punkt slut", "En snabel-a är ett tecken. Punkt.", "it is at node dot product org"]:
+        assert personal_data.addresses(text) == []
+
+
 def test_common_words_are_counted_over_all_texts(spark):
     lower = ["nu kom ekman och skrev till anna.ekman@x.example"] * 4
     rows = [(t,) for t in [*lower, "x " * 10001 + "Ekman Ekman Ekman Ekman Ekman", "Am am am https://x.example/ekman www.x.example/ekman", None]]
