@@ -255,6 +255,18 @@ def test_residue(spark):
     assert residue.to_exclude(df.where("false"), ratios).count() == 0
 
 
+STRONG_PLACES = ["{{ name }}", "{% title %}", "<%= title %>", "${title}", "*|FNAME|*", "%%name%%", "@@name@@", "##name##", "<<name>>", "%(name)s", "[object Object]", "#REF!", "xxx@xxx.com", "[insert text]", "«namn»", "<name>"]
+WEAK_PLACES = ["undefined", "null", "NaN", "None", "nil", "n/a", "XXX", "____", "......", "DD/MM/YYYY", "DD-MM-YYYY", "YYYY-MM-DD", "ÅÅÅÅ-MM-DD", "{0}", "{name}", "%s", "%name%", "__NAME__", "(name)", "<first name>", "«Saga»"]
+
+
+@pytest.mark.parametrize("place", STRONG_PLACES + WEAK_PLACES)
+def test_each_place_on_a_line_of_its_own(place):
+    line = f"Hej {place}, här kommer nyckeln."
+    text = f"En rad.\n{line}\nEn rad till."
+    found = [text[s:e] for s, e in residue.unfilled_places(text)]
+    assert found and all(place in f for f in found)
+
+
 @settings(max_examples=100)
 @given(st.text(max_size=200))
 def test_places_lie_in_the_text(text):
