@@ -24,6 +24,7 @@ _HYPHENATED = re.compile(r"[-‐‑¬](?<=[^\W\d_].)\s*\n[\s>|*#-]*(?=[^\W\d_])"
 _WORD = re.compile(r"[^\W_]+")
 #: Items up to which a shingle tells them apart; what more share is a common phrase, no evidence.
 SHARED = 2
+#: Common shingles from which a pair is aligned; an item whose leaks may keep fewer whole asks for fewer.
 LEAST_HITS = 2
 #: Words whose folded form and hash a worker remembers.
 REMEMBERED = 500_000
@@ -82,9 +83,9 @@ def _hash(parts: list[str]) -> np.ndarray:
 
 
 def needed(n_words: int) -> int:
-    """Intact shingles that a leak of SHARE of n_words has at least, with one word in CHANGED differing."""
+    """Intact shingles that a leak of SHARE of n_words has at least, with one word in CHANGED differing or broken, and a foreign line in it."""
     part = int(np.ceil(SHARE * n_words))
-    return max(1, part - SHINGLE + 1 - SHINGLE * int(np.ceil(part / CHANGED)))
+    return max(1, part - SHINGLE + 1 - SHINGLE * int(np.ceil(part / CHANGED)) - (SHINGLE - 1))
 
 
 def align(item: list[str], window: list[str], least: float = 0) -> tuple[int, int]:
@@ -200,8 +201,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
     in order, the item words from the first to the last of them, and the item's words; zeros where too few words meet for `share`.
 
     Shingles of more than SHARED items are phrases and no evidence, unless an item has too few others. The rest are ordered by rarity
-    in the corpus; only the rarest n - need + 1 of them are joined, as a leak keeps at least
-    `need` whole. Null texts and ids take no part, items shorter than a shingle leak nowhere, repeated rows count once. Item shingles
+    in the corpus; only the rarest n - need + LEAST_HITS of them are joined, of which a leak, that keeps at least `need` whole,
+    has LEAST_HITS; where need is less, that many hits do. Null texts and ids take no part, items shorter than a shingle leak nowhere, repeated rows count once. Item shingles
     up to BROADCAST_ROWS are matched inside the scan, so that of the corpus only hits are shuffled; more are joined.
     """
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((documents, doc_col), (items, item_col)))
@@ -219,8 +220,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
     df = hits.groupBy("shingle").agg(F.count_distinct("doc").alias("df"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("df", "shingle", "pos"))
     ranked = shingles.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("r", rank)
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.col("need") + 1).select("item", "pos", "shingle")
-    pairs = hits.join(small(prefix), "shingle").groupBy("doc", "item").agg(F.array_sort(F.collect_set(F.struct("at", "pos"))).alias("hits")).where(F.size("hits") >= LEAST_HITS)
+    hits_needed = F.least(F.col("need"), F.lit(LEAST_HITS))
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.col("need") + hits_needed).select("item", "pos", "shingle", hits_needed.alias("least"))
+    pairs = hits.join(small(prefix), "shingle").groupBy("doc", "item").agg(F.array_sort(F.collect_set(F.struct("at", "pos"))).alias("hits"), F.min("least").alias("least")).where(F.size("hits") >= F.col("least")).drop("least")
     texts = small(items.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(item_col).alias("item")).agg(F.min(text_col).alias("item_text")))
     found = docs.join(pairs, "doc").join(texts, "item").select("doc", "text", "item", "item_text", "hits")
     out = found.mapInPandas(_verifier(share), f"doc {doc_kind}, item {item_kind}, matched int, spanned int, n int").groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("spanned").alias("spanned"), F.max("n").alias("n"))

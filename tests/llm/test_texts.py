@@ -236,6 +236,22 @@ def test_leaks_against_planted(spark):
     assert leakage.leaked(df.where("false"), it).count() == 0 and leakage.leaked(df, it.where("false")).count() == 0
 
 
+def test_leaks_with_few_whole_shingles(spark):
+    """Half an item with four words changed and a foreign line in it, so that one shingle of five words is left whole."""
+    rng = random.Random(9)
+    vocabulary = [f"ord{k}" for k in range(4000)]
+    items = [(k, " ".join(rng.sample(vocabulary, n))) for k, n in enumerate([50, 49, 50, 50])]
+    docs = []
+    for d, (_, text) in enumerate(items):
+        part = text.split()[:26]
+        for at in (3, 8, 18, 23):
+            part[at] = "annat"
+        docs.append((d, " ".join(["brus"] * 30 + part[:13] + ["en", "rad"] + part[13:] + ["brus"] * 30)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked(df, it).collect()}
+    assert got == {(k, k) for k in range(4)}
+
+
 def test_folding():
     assert leakage.words("Mö­tes-\nprotokoll <b>Å</b>&nbsp;É") == ["motesprotokoll", "a", "e"]
 
