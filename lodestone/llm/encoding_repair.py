@@ -103,6 +103,14 @@ def garbled_forms(word: str) -> Iterator[tuple[str, bool]]:
                         yield twice, True
 
 
+def rare_forms(word: str) -> set[str]:
+    """The forms of word under the second readings that garbled_forms leaves out, as they are rarer than any of its own."""
+    utf, raws = word.encode("utf-8", "surrogatepass"), [raw for src in SINGLE if (raw := _bytes(word, src)) is not None]
+    out = {_read(_read(utf, outer).encode("utf-8"), inner) for outer in SINGLE for inner in SINGLE[5:]}
+    out |= {_read(form.encode("utf-8"), inner) for form in {_read(raw, dst) for raw in raws for dst in SINGLE} - {word} for inner in SINGLE[2:]}
+    return out - {word} - {form for form, _ in garbled_forms(word)}
+
+
 def reversed_utf8(token: str, depth: int = 2) -> str | None:
     """The word whose UTF-8 bytes were read as a single-byte encoding (once or twice) to give token; natural ones before other words of letters."""
     words = []
@@ -129,6 +137,8 @@ def reversed_utf8(token: str, depth: int = 2) -> str | None:
     return words[0] if words else None
 
 
+#: Taken from the count of words behind a rare form, so that each other explanation of a token goes first.
+RARE = 1 << 40
 _FORMS = "form string, word string, multi boolean, word_n long"
 
 
@@ -144,10 +154,11 @@ def _generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for token, n, natural in zip(b["token"], b["n"], b["natural"]):
             if natural:
                 out += [(form, token, multi, n) for form, multi in garbled_forms(token)]
+                out += [(form, token, True, n - RARE) for form in rare_forms(token)]
             else:
                 # originals that occur nowhere clean: accepted only when garbling them gives the token again
                 word = reversed_utf8(token)
-                if word and (token.isascii() or any(form == token for form, _ in garbled_forms(word))):
+                if word and (token.isascii() or any(form == token for form, _ in garbled_forms(word)) or token in rare_forms(word)):
                     out.append((token, word, True, 0))
                 elif _HARD.search(token):
                     out.append((token, None, True, 0))
@@ -197,7 +208,7 @@ def garbled_dictionary(tokens: DataFrame) -> DataFrame:
         .when(F.col("multi"), F.lit(True))
         .otherwise(lettered & more)
     )
-    by_form = Window.partitionBy("form").orderBy(F.col("word").isNull(), F.desc("multi"), F.desc("word_n"), "word")
+    by_form = Window.partitionBy("form").orderBy(F.col("word").isNull(), F.col("word_n") < 0, F.desc("multi"), F.desc("word_n"), "word")
     ranked = hits.withColumn("k", F.row_number().over(by_form)).withColumn("tie", F.lead("word_n").over(by_form) == F.col("word_n"))
     sure = F.col("form").rlike("[^\\x00-\\x7f]") | F.col("multi") | (F.length("word") >= SEVEN_SURE)
     lost = F.col("form").contains("�") & F.col("tie")

@@ -35,3 +35,23 @@ def test_every_form_differs_from_its_word(word):
     assert all(form != word for form, _ in E.garbled_forms(word))
     if not word.isascii():
         assert E.reversed_utf8(word.encode().decode("latin-1")) == word
+
+
+def test_every_second_reading_is_a_form():
+    for word in ("värme", "ключи"):
+        forms = {form for form, _ in E.garbled_forms(word)} | E.rare_forms(word)
+        for inner in E.SINGLE:
+            for outer in E.SINGLE:
+                assert E._read(E._read(word.encode(), outer).encode(), inner) in forms
+                for source in E.SINGLE:
+                    raw = E._bytes(word, source)
+                    if raw is not None and (form := E._read(raw, outer)) != word:
+                        assert E._read(form.encode(), inner) in forms
+
+
+def test_twice_read_russian_is_restored(spark):
+    word = "ключи"
+    extra = [(name, E._read(E._read(word.encode(), name).encode(), name), None) for name in ("cp1251", "koi8_r", "cp866")]
+    t = table(spark, [*extra, ("clean", word, None)])
+    assert {tuple(r) for r in E.find_garbled(t).collect()} == {(name, "text") for name, *_ in extra}
+    assert {r["id"]: r["restored"] for r in E.restore(t).collect() if r["id"] in ("cp1251", "koi8_r", "cp866")} == {name: word for name, *_ in extra}
