@@ -32,9 +32,15 @@ CLOSING = (
     "cordialement|bien à vous|bien cordialement|amicalement|merci|à bientôt|saludos|un saludo|saludos cordiales|gracias|atentamente|"
     "ystävällisin terveisin|terveisin|terveiset|parhain terveisin|kiitos|с уважением|всего доброго|спасибо|с наилучшими пожеланиями"
 )
-# letters beyond ASCII may have come through a wrong decoding
-_CLOSING = re.compile(rf"(?:{re.sub('[^ -~]', lambda m: rf'(?:{m[0]}|\\S{{1,8}})', CLOSING)})\s*[,!.]?\s*$", re.I)
-_DEVICE = re.compile(r"(?:sent from (?:my|a)|get outlook|skicka[dt] fr\S{1,9}n min|von mein\w+ .{2,30}gesendet|gesendet von mein|sendt fra min|envoyé (?:de|depuis) mon|enviado desde mi|lähetetty .{2,30}|отправлено с)\b", re.I)
+
+
+def _loose(wording: str) -> str:
+    """wording whose letters of the Latin alphabets beyond ASCII may have come through a wrong decoding."""
+    return re.sub("[À-ž]", lambda m: rf"(?:{m[0]}|\S{{1,8}})", wording)
+
+
+_CLOSING = re.compile(rf"(?:{_loose(CLOSING)})\s*[,!.]?\s*$", re.I)
+_DEVICE = re.compile(_loose(r"(?:sent from (?:my|a)|get outlook|skicka[dt] fr\S{1,9}n min|von mein\w+ .{2,30}gesendet|gesendet von mein|sendt fra min|envoyé (?:de|depuis) mon|enviado desde mi|lähetetty .{2,30}|отправлено с)\b"), re.I)
 _LEGAL = re.compile(
     "confidential|privileged|intended (?:solely|only) for|received (?:it|this \\S+) in error|disclaimer|sekretess|endast avsedd?t? f|rätt mottagare|skriver ut detta me|"
     "vertraulich|genannten Empf|Weitergabe ist|bestimmt\\. |fortrolig|rette modtager|confidentiel|destinataire|confidencial|destinatario|luottamuksell|vastaanottaj|конфиденциальн|"
@@ -42,7 +48,8 @@ _LEGAL = re.compile(
     re.I,
 )
 _MARKER = re.compile(r"\s*-{4,}\s*\S.*\S\s*-{3,}\s*$|\s*-{4,}\s*\S+\s*-{3,}\s*$")
-_MARK_HEAD = re.compile(r"(?:from|från|von|de|fra|lähettäjä|от|sent|skickat|gesendet|envoyé|enviado|sendt|to|till|an|à|para|til|subject|ämne|betreff|objet|asunto|emne|date|datum|fecha|cc|kopia)\s?:", re.I)
+_MARK_HEAD = re.compile(_loose(r"(?:from|från|von|de|fra|lähettäjä|от|sent|skickat|gesendet|envoyé|enviado|sendt|to|till|an|à|para|til|subject|ämne|betreff|objet|asunto|emne|date|datum|fecha|cc|kopia)\s?:"), re.I)
+_SENDER_HEAD = re.compile(_loose(r"(?:from|från|von|de|fra|lähettäjä|от)\s?:"), re.I)
 _PREFIX = re.compile(r"\s*(?:>|\|(?!.*\|\s*$)|\|\s*[>|])")
 _WROTE_END = re.compile(rf"(?:\b(?:{WROTE})\b.*:\s*$)|^\s*<\S+@\S+>\s*(?:{WROTE})?\s*:\s*$|^\s*(?:{WROTE})?\s*:\s*$", re.I)
 _WROTE_HEAD = re.compile(rf"(?:on|den|am|le|el|il|\d{{1,4}}|[^\W\d_]+)\b.*(?:\d{{4}}|\b(?:{WROTE})\b)", re.I)
@@ -51,12 +58,18 @@ _CONTACT = re.compile(r"(?:tel|tfn|phone|mobil\w*|fax|e-?mail|mail|web|www)\b\s*
 _NAME = re.compile(r"(?:[^\W\d_a-zåäöéüèæøßàâáíóúñ][\w’'.-]*,?\s*){1,4}$")
 _SLASH = re.compile(r"\s*[/–—~]\s?[^\W\d_][\w’'-]*(?:[ -][^\W\d_][\w’'.-]*){0,2}\s*$")
 _END = re.compile(r"[.!?…:;][\"”»’)\]]*\s*$")
-_GREETING = re.compile(r"(?:hi|hello|hej|hejsan|hallå|dear|hey|hallo|liebe|lieber|guten|moin|god|good|morning|morgon|kære|bonjour|salut|hola|moi|hei|привет|здравствуйте)\b.{0,40}[,!]\s*$", re.I)
+_GREETING = re.compile(_loose(r"(?:hi|hello|hej|hejsan|hallå|dear|hey|hallo|liebe|lieber|guten|moin|god|good|morning|morgon|kære|bonjour|salut|hola|moi|hei|привет|здравствуйте)\b.{0,40}[,!]\s*$"), re.I)
 _DASHES = re.compile(r"\s*--\s*$")
 _UNDERSCORES = re.compile(r"\s*_{5,}\s*$")
 _ALNUM = re.compile(r"[^\W_]")
 
 
+def _header_block(lines: list[str], k: int) -> bool:
+    """Whether the header of an earlier message starts at line k: three fields of different names, one below the other."""
+    names = [m[0].casefold() for line in lines[k : k + 3] if (m := _MARK_HEAD.match(line.strip()))]
+    return len(set(names)) == 3
+
+
 def _kinds(lines: list[str]) -> list[str]:
     """The strongest shape of each line, by itself and the line after it."""
     out = []
@@ -89,6 +102,8 @@ def _kinds(lines: list[str]) -> list[str]:
             kind = "slash"
         elif _GREETING.match(bare) and len(bare) < 50:
             kind = "greeting"
+        elif _SENDER_HEAD.match(bare) and _header_block(lines, k):
+            kind = "marker"
         elif _MARK_HEAD.match(bare):
             kind = "fields"
         elif _CONTACT.match(bare) and len(bare) < 90:

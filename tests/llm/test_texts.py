@@ -89,7 +89,7 @@ def mail_model():
         new = "\n".join(rng.choice(["Det här är en rad.", "We moved the key to the office.", "Kan du fråga om det?", "rad två fortsätter här."]) for _ in range(rng.randrange(1, 4)))
         quote = "Bo Al wrote on Fri, 6 Jan 2023:\n> Hi Åsa,\n> some older words here.\n> /Bo"
         sign = rng.choice(["Med vänliga hälsningar,\nÅsa", "-- \nÅsa Ek\nTel: 010 123 45 67", "/Åsa", "Sent from my phone", ""])
-        forward = rng.choice(["", "\n-----Original Message-----\nFrom: Bo Al\nSent: x\n\nOld text stays old.", "\nThis e-mail and any attachment are confidential and intended solely for the addressee."])
+        forward = rng.choice(["", "\n-----Original Message-----\nFrom: Bo Al\nSent: x\n\nOld text stays old.", "\nFrån: Bo Al\nSkickat: x\nTill: Åsa Ek\n\nHej Åsa,\nGammal text.\nOch mer av den.", "\nThis e-mail and any attachment are confidential and intended solely for the addressee."])
         mails.append(MAIL + rng.choice([f"Hej Bo,\n{new}\n\n{sign}\n\n{quote}{forward}", f"{quote}\n\n{new}\n{sign}{forward}", f"{new}\n\n{sign}{forward}"]))
     return email_lines.train(mails)
 
@@ -99,6 +99,9 @@ def test_lines(mail_model):
     assert label(mail_model, "Bo Al wrote on May 3, 2022:\n> We moved the\nsecond report because the old\n> room was full.\n\nGood to know.") == ["Good to know."]
     assert label(mail_model, "Bo Al wrote on May 3, 2022:\n> We moved the report.\nThat was right.\n> And the key.\nAnd that too.") == ["That was right.", "And that too."]
     assert label(mail_model, "-----Ursprungligt meddelande-----\nFrån: Bo\nSkickat: 1\n\nGammalt.") == []
+    assert label(mail_model, "Hej Bo,\nDet är klart.\n\nFrån: Bo Al\nSkickat: 3 maj 2022 10:01\nTill: Åsa Ek\nÄmne: Rapport\n\nÄr det klart?\nJag väntar.") == ["Hej Bo,", "Det är klart."]
+    assert label(mail_model, "Det {r klart.\n\nMed v{nliga h{lsningar,\n}sa\n\nFr}n: Bo Al\nSkickat: 3 maj 2022 10:01\nTill: }sa Ek\n[mne: Rapport\n\n[r det klart?") == ["Det {r klart."]
+    assert label(mail_model, "Till: alla som undrar.\nDet är klart.") == ["Till: alla som undrar.", "Det är klart."]
 
 
 def test_new_lines_rows(spark, mail_model):
