@@ -1,9 +1,11 @@
-"""The k most similar vectors of every vector: cells by random rotations, each searched in full.
+"""The k most similar vectors of every vector: stable projections in a kd-tree, searched by growing projected distance to a chi-square stop.
 
-Rows are routed by the signed leading axis of a random (2-stable) rotation of the centred vectors, in several independent tables,
+Rows are first routed by the signed leading axis of a random (2-stable) rotation of the centred vectors, in several independent tables,
 so that one cell is home to about CELL vectors; each goes also to the cells that it is nearest to besides. Inside a cell the
-vectors are projected to DIMS Gaussian coordinates and put in a kd-tree; each leaf verifies the leaves whose boxes lie within the
-radius that a chi-square test allows a near vector with probability 0.999. At cosine 0.9 that is every leaf of a cell.
+vectors are projected to DIMS Gaussian coordinates and put in a kd-tree. Each leaf of queries takes the leaves in the order of their
+projected distance; of these only the vectors are verified that a chi-square test still allows, with probability QUANTILE, to be nearer
+than a query's k-th best so far (or the floor), and the search ends where no leaf ahead holds any. A vector so dense in neighbours
+that it has k of them early thus verifies few of the rest.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import small, table_cut
 
-CELL = 1024
-TABLES = 3
-#: Cells of each table that a vector goes to, its own included: as cells get finer with the row count, near vectors part at one more axis.
+CELL = 2048
+TABLES = 2
+#: Cells of each table that a vector goes to, its own included; one more where cells are cut twice, as near vectors then part at one more axis.
 PROBES = 3
-DIMS = 8
+DIMS = 16
 LEAF = 128
-#: Upper quantile of chi-square with DIMS=8 degrees of freedom at 0.999 (fixed value of the test).
-CHI2_8_999 = 26.125
+#: Leaves taken at once: as many as have been taken before, so that the first ones lower the bound of the rest.
+FIRST = 1
+#: Upper quantile of chi-square with DIMS=16 degrees of freedom at 0.999 (fixed value of the test).
+CHI2 = 39.252
 #: Cells above HOT vectors are worked off as pairs of blocks of that size, so no task holds more than two blocks.
 HOT = 16384
 #: Pairs whose cosine is taken at once.
@@ -78,18 +82,18 @@ def _leading(z: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _router(dim: int, mean: np.ndarray, tables: int, width: int, fine: int) -> Callable:
     """Cells by the leading of the first `width` axes (all in one for 0), cut again by the leading of `fine` axes of a second rotation;
-    of each table the PROBES cells that take the least change of the vector."""
-    turns = _rotations(dim, tables)
+    of each table the PROBES cells that take the least change of the vector, or one more for cells cut twice."""
+    turns, probes = _rotations(dim, tables), PROBES + (fine > 1)
 
     def cells(x: np.ndarray, t: int) -> np.ndarray:
         if not width:
             return np.zeros((len(x), 1), dtype=np.int64)
-        cell, behind = _leading((x @ turns[2 * t])[:, :width], PROBES)
+        cell, behind = _leading((x @ turns[2 * t])[:, :width], probes)
         if fine > 1:
-            part, lag = _leading((x @ turns[2 * t + 1])[:, :fine], PROBES)
+            part, lag = _leading((x @ turns[2 * t + 1])[:, :fine], probes)
             cell = (cell[:, :, None] * (2 * fine) + part[:, None, :]).reshape(len(x), -1)
             cost = (behind[:, :, None] ** 2 + lag[:, None, :] ** 2).reshape(len(x), -1)
-            cell = np.take_along_axis(cell, np.argsort(cost, axis=1, kind="stable")[:, :PROBES], axis=1)
+            cell = np.take_along_axis(cell, np.argsort(cost, axis=1, kind="stable")[:, :probes], axis=1)
         return cell.astype(np.int64)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,32 +124,65 @@ def _leaves(z: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search_block(x: np.ndarray, block: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", x[a[at : at + PAIRS]], x[b[at : at + PAIRS]]) for at in range(0, len(a), PAIRS)] or [np.zeros(0, x.dtype)])
+
+
+def search_block(x: np.ndarray, block: np.ndarray, k: int, floor: float, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, cosine) of pairs within x (unit rows) with cosine >= floor, the best k of each row and ties with the k-th.
 
-    block: 0 for rows that meet all rows, else 1 or 2, of which only rows of different blocks meet.
+    block: 0 for rows that meet all rows, else 1 or 2, of which only rows of different blocks meet. counts gets the numbers of
+    pairs in all, of those whose projections were compared, and of those whose cosine was taken.
     """
     n, dim = x.shape
     gauss = np.random.default_rng(11).standard_normal((dim, DIMS))
-    z, fast = x @ gauss, x.astype(np.float32)
+    z, fast = (x @ gauss).astype(np.float32), x.astype(np.float32)
+    norm = np.einsum("ij,ij->i", z, z)[:, None]
+    # the product of a row of `ask` and one of `tell` is the squared projected distance, less what is added to the last column of `ask`
+    ask, tell = np.hstack([-2 * z, np.ones_like(norm), norm]), np.hstack([z, norm, np.ones_like(norm)])
     leaves = _leaves(z, np.arange(n))
     low = np.stack([z[p].min(axis=0) for p in leaves])
     high = np.stack([z[p].max(axis=0) for p in leaves])
+    split = block.any()
+    total, compared, verified = n * n, 0, 0
     found: list[tuple] = []
     for i, mine in enumerate(leaves):
         gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
-        near = (gap * gap).sum(axis=1)
-        # stop where a vector within the radius of cosine `floor` would be this far only with probability 0.001
-        visit = np.flatnonzero(near <= CHI2_8_999 * max(0.0, 2 - 2 * floor) + 1e-9)
-        others = np.concatenate([leaves[j] for j in visit])
-        s = fast[mine] @ fast[others].T
-        a, b = np.nonzero(s >= floor - 1e-4)
-        a, b = mine[a], others[b]
-        keep = (a != b) & ((block[a] != block[b]) | (block[a] == 0))
-        a, b = a[keep], b[keep]
-        cos = np.concatenate([np.einsum("ij,ij->i", x[a[at : at + PAIRS]], x[b[at : at + PAIRS]]) for at in range(0, len(a), PAIRS)] or [np.zeros(0)])
-        keep = cos >= floor
-        found.append(_best(a[keep], b[keep], cos[keep], k))
+        near = np.einsum("ij,ij->i", gap, gap)
+        order = np.argsort(near, kind="stable")
+        worst = np.full(len(mine), max(0.0, 2 - 2 * floor))
+        own = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        at, step = 0, FIRST
+        while at < len(order):
+            reach = CHI2 * worst + 1e-4
+            ahead = order[at : at + step]
+            ahead = ahead[near[ahead] <= reach.max()]
+            if not len(ahead):
+                break
+            at, step = at + step, at + step
+            others = np.concatenate([leaves[j] for j in ahead])
+            questions = ask[mine]
+            questions[:, -1] -= reach
+            compared += len(mine) * len(others)
+            a, b = np.divmod(np.flatnonzero(questions @ tell[others].T <= 0), len(others))
+            b = others[b]
+            keep = mine[a] != b
+            if split:
+                keep &= (block[mine[a]] != block[b]) | (block[b] == 0)
+            a, b = a[keep], b[keep]
+            verified += len(a)
+            keep = _cosines(fast, mine[a], b) >= floor - 1e-4
+            a, b = a[keep], b[keep]
+            cos = _cosines(x, mine[a], b)
+            keep = cos >= floor
+            if keep.any():
+                own = _best(*(np.concatenate(v) for v in zip(own, (a[keep], b[keep], cos[keep]))), k)
+                full = np.flatnonzero(np.bincount(own[0], minlength=len(mine)) >= k)
+                worst[full] = 2 - 2 * own[2][np.searchsorted(own[0], full) + k - 1]
+        found.append((mine[own[0]], *own[1:]))
+    if counts is not None:
+        for name, number in (("pairs", total), ("compared", compared), ("verified", verified)):
+            counts[name] = counts.get(name, 0) + number
     a, b, cos = (np.concatenate(v) for v in zip(*found))
     return a, b, cos
 

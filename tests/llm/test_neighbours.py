@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import neighbours as N
@@ -55,8 +56,9 @@ def test_block_search_keeps_ties():
     assert len(a) == 20 and F is not None
 
 
-def test_fine_cells_keep_near_pairs():
-    """The router as it is for 2.4 million vectors, where cells are cut a second time."""
+@pytest.mark.parametrize("fine", [1, 2, 8, 64])
+def test_fine_cells_keep_near_pairs(fine):
+    """The router as it is for up to 30 million vectors, where cells are cut a second time."""
     rng = np.random.default_rng(8)
     x = rng.standard_normal((4000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -64,7 +66,7 @@ def test_fine_cells_keep_near_pairs():
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     y = 0.92 * x + np.sqrt(1 - 0.92**2) * y
-    route = N._router(64, np.zeros(64), N.TABLES, 64, 9)
+    route = N._router(64, np.zeros(64), N.TABLES, 64, fine)
     met = [set() for _ in range(4000)]
     for side in (x, y):
         batch = N.pd.DataFrame({"vid": range(4000), "vec": list(side.astype(np.float32))})
@@ -73,7 +75,37 @@ def test_fine_cells_keep_near_pairs():
             for v, c in zip(part["vid"], part["cell"]):
                 cells[v].add(c)
         met = cells if side is x else [a & b for a, b in zip(met, cells)]
-    assert sum(map(bool, met)) / 4000 >= 0.97
+    assert sum(map(bool, met)) / 4000 >= 0.96
+
+
+def test_few_vectors_are_verified():
+    """In a cell of vectors about one axis the projections rule out nearly all, and no neighbour is lost."""
+    rng = np.random.default_rng(9)
+    x = 0.35 * np.eye(1, 64) + rng.standard_normal((3000, 64)) / 8
+    x[1500:1900] = x[:400] + 0.04 * rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    counts = {}
+    a, b, cos = N.search_block(x, np.zeros(len(x), int), 10, 0.9, counts)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    want = set(zip(*np.nonzero(s >= 0.9)))
+    assert len(want) > 700 and len(want & set(zip(a, b))) >= 0.99 * len(want)
+    assert counts["verified"] < 0.05 * counts["pairs"] and np.allclose(cos, s[a, b])
+
+
+def test_early_neighbours_stop_the_search():
+    """Vectors with k nearer ones in their own leaf don't verify those that the floor alone would let in."""
+    rng = np.random.default_rng(10)
+    centre = rng.standard_normal((40, 64))
+    x = np.repeat(np.ones(64) + 0.25 * centre, 30, axis=0) + 0.004 * rng.standard_normal((1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    counts = {}
+    a, b, cos = N.search_block(x, np.zeros(len(x), int), 10, 0.9, counts)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    tenth = -np.partition(-s, 9, axis=1)[:, 9]
+    assert counts["compared"] < counts["pairs"] and counts["verified"] < 0.3 * (s >= 0.9).sum()
+    assert len(a) >= 0.99 * 12000 and (cos >= tenth[a] - 1e-9).mean() >= 0.99
 
 
 def test_against_brute_force_in_fine_cells(spark, monkeypatch):
