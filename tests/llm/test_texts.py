@@ -101,7 +101,7 @@ def test_lines(mail_model):
     assert label(mail_model, "-----Ursprungligt meddelande-----\nFrån: Bo\nSkickat: 1\n\nGammalt.") == []
     assert label(mail_model, "Hej Bo,\nDet är klart.\n\nFrån: Bo Al\nSkickat: 3 maj 2022 10:01\nTill: Åsa Ek\nÄmne: Rapport\n\nÄr det klart?\nJag väntar.") == ["Hej Bo,", "Det är klart."]
     assert label(mail_model, "Det {r klart.\n\nMed v{nliga h{lsningar,\n}sa\n\nFr}n: Bo Al\nSkickat: 3 maj 2022 10:01\nTill: }sa Ek\n[mne: Rapport\n\n[r det klart?") == ["Det {r klart."]
-    assert label(mail_model, "Till: alla som undrar.\nDet är klart.") == ["Till: alla som undrar.", "Det är klart."]
+    assert email_lines.cautious_labels(MAIL + "Till: alla som undrar.\nDet är klart.")[5:] == ["new", "new"]
 
 
 def test_new_lines_rows(spark, mail_model):
