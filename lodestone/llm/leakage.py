@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.runtime import BROADCAST_ROWS, small, spread, table_cut
+from lodestone.functions.runtime import small, spread, table_cut
 
 #: Words per shingle; share of an item's words that a leak covers; one word in CHANGED may differ.
 SHINGLE, SHARE, CHANGED = 5, 0.5, 8
@@ -22,8 +22,10 @@ _INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff\u180e\u034f\x00]")
 _COMBINING = re.compile("[\u0300-\u036f]")
 _HYPHENATED = re.compile(r"[-‐‑¬](?<=[^\W\d_].)\s*\n[\s>|*#-]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
-#: Items up to which a shingle tells them apart; what more share is a common phrase, no evidence.
+#: Items up to which a shingle tells them apart. What more share is a phrase and no evidence, unless they share half of the item as one piece.
 SHARED = 2
+#: Bits of the filter that the item shingles set, two each; at any number of them it lets all of them through, and of others the fewer the emptier it is.
+FILTER_BITS = 1 << 25
 #: Common shingles from which a pair is aligned; an item whose leaks may keep fewer whole asks for fewer.
 LEAST_HITS = 2
 #: Words whose folded form and hash a worker remembers.
@@ -163,20 +165,43 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     return rows.mapInPandas(run, f"item {kind}, pos int, shingle long, need int, n int")
 
 
-def _document_shingles(known: np.ndarray | None) -> Callable:
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that belong to each hash."""
+    u = h.view(np.uint64)
+    return u & np.uint64(FILTER_BITS - 1), (u >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)
+
+
+def _set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        bits = np.unique(np.concatenate(_places(b["shingle"].to_numpy(dtype=np.int64))))
+        word, start = np.unique(bits >> np.uint64(6), return_index=True)
+        value = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), start) if len(bits) else bits
+        yield pd.DataFrame({"word": word.astype(np.int64), "bits": value.view(np.int64)})
+
+
+def shingle_filter(shingles: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS over the column shingle: put together by tasks, of one size however many there are."""
+    rows = shingles.mapInPandas(_set_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def _touched(shared) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
-            docs, at, found = [], [], []
+            docs, texts, at, found = [], [], [], []
             for d, text in zip(b["doc"], b["text"]):
                 h = _hash(words(text))
-                if known is not None and len(h) and len(known):
-                    keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-                else:
-                    keep = np.arange(len(h))
-                docs += [d] * len(keep)
-                at += keep.tolist()
-                found += h[keep].tolist()
-            yield pd.DataFrame({"doc": docs, "at": at, "shingle": found})
+                keep = np.flatnonzero(np.bitwise_and.reduce([known[p >> np.uint64(6)] >> (p & np.uint64(63)) for p in _places(h)]) & np.uint64(1)) if len(h) else h
+                if len(keep):
+                    docs.append(d)
+                    texts.append(text)
+                    at.append(keep.tolist())
+                    found.append(h[keep].tolist())
+            if docs:
+                yield pd.DataFrame({"doc": docs, "text": texts, "at": at, "shingle": found})
 
     return run
 
@@ -196,35 +221,45 @@ def _verifier(share: float) -> Callable:
     return run
 
 
+def evidence(shingles: DataFrame, share: float = SHARE) -> DataFrame:
+    """Of item_shingles those that tell of a leak: of at most SHARED items, or in a shared piece of at least `share` of the item's words,
+    or all where the item has fewer such than a leak keeps whole."""
+    usual = shingles.groupBy("shingle").agg(F.count_distinct("item").alias("items"))
+    common = F.col("items") > SHARED
+    # neighbouring positions of one item that are alike common or not form a piece
+    by_place = Window.partitionBy("item").orderBy("pos")
+    marked = shingles.join(usual, "shingle").withColumn("common", common).withColumn("piece", F.row_number().over(by_place) - F.row_number().over(Window.partitionBy("item", "common").orderBy("pos")))
+    words = F.count("*").over(Window.partitionBy("item", "common", "piece")) + (SHINGLE - 1)
+    told = marked.withColumn("told", ~F.col("common") | (words >= F.ceil((F.col("n") + SHINGLE - 1) * F.lit(share))))
+    own = F.sum(F.col("told").cast("int")).over(Window.partitionBy("item"))
+    return told.withColumn("own", own).where(F.col("told") | (F.col("own") < F.col("need"))).select(*shingles.columns)
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_col, item_col, matched, spanned, n): every pair whose document holds a passage near to an item, with the item words matched
     in order, the item words from the first to the last of them, and the item's words; zeros where too few words meet for `share`.
 
-    Shingles of more than SHARED items are phrases and no evidence, unless an item has too few others. The rest are ordered by rarity
-    in the corpus; only the rarest n - need + LEAST_HITS of them are joined, of which a leak, that keeps at least `need` whole,
-    has LEAST_HITS; where need is less, that many hits do. Null texts and ids take no part, items shorter than a shingle leak nowhere, repeated rows count once. Item shingles
-    up to BROADCAST_ROWS are matched inside the scan, so that of the corpus only hits are shuffled; more are joined.
+    A shingle of more than SHARED items is a phrase and no evidence where the piece of the item that is so shared has less than `share` of
+    its words, unless the item has too few others; a longer piece, as near copies of an item have, is evidence for each of them. The
+    evidence is ordered by rarity in the corpus; only an item's rarest n - need + LEAST_HITS are joined, of which a leak, that keeps at
+    least `need` whole, has LEAST_HITS; where need is less, that many hits do. Null texts and ids take no part, items shorter than a
+    shingle leak nowhere, repeated rows count once. A filter of fixed size stops most documents in the scan; those with a hit are written, and only their texts are shuffled.
     """
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((documents, doc_col), (items, item_col)))
-    shingles = table_cut(item_shingles(items, item_col, text_col))
-    usual = shingles.groupBy("shingle").agg(F.count_distinct("item").alias("items"))
-    own = F.sum((F.col("items") <= SHARED).cast("int")).over(Window.partitionBy("item"))
-    shingles = table_cut(shingles.join(usual, "shingle").withColumn("own", own).where((F.col("items") <= SHARED) | (F.col("own") < F.col("need"))))
-    distinct = shingles.select("shingle").distinct()
-    few = distinct.limit(BROADCAST_ROWS + 1).toPandas()["shingle"].to_numpy(dtype=np.int64)
-    known = np.sort(few) if len(few) <= BROADCAST_ROWS else None
+    shingles = table_cut(evidence(table_cut(item_shingles(items, item_col, text_col)), share))
+    shared = documents.sparkSession.sparkContext.broadcast(shingle_filter(shingles.select("shingle")))
     docs = documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-    hits = spread(docs).mapInPandas(_document_shingles(known), f"doc {doc_kind}, at int, shingle long")
-    hits = table_cut(hits if known is not None else hits.join(distinct, "shingle", "left_semi"))
+    touched = table_cut(spread(docs).mapInPandas(_touched(shared), f"doc {doc_kind}, text string, at array<int>, shingle array<long>"))
+    df = touched.select(F.explode(F.array_distinct("shingle")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
     # a shingle that no document has can't be met, whatever its rank
-    df = hits.groupBy("shingle").agg(F.count_distinct("doc").alias("df"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("df", "shingle", "pos"))
     ranked = shingles.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("r", rank)
     hits_needed = F.least(F.col("need"), F.lit(LEAST_HITS))
     prefix = ranked.where(F.col("r") <= F.col("n") - F.col("need") + hits_needed).select("item", "pos", "shingle", hits_needed.alias("least"))
+    hits = touched.select("doc", F.explode(F.arrays_zip("at", "shingle")).alias("h")).select("doc", "h.at", "h.shingle")
     pairs = hits.join(small(prefix), "shingle").groupBy("doc", "item").agg(F.array_sort(F.collect_set(F.struct("at", "pos"))).alias("hits"), F.min("least").alias("least")).where(F.size("hits") >= F.col("least")).drop("least")
     texts = small(items.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(item_col).alias("item")).agg(F.min(text_col).alias("item_text")))
-    found = docs.join(pairs, "doc").join(texts, "item").select("doc", "text", "item", "item_text", "hits")
+    found = touched.select("doc", "text").join(pairs, "doc").join(texts, "item").select("doc", "text", "item", "item_text", "hits")
     out = found.mapInPandas(_verifier(share), f"doc {doc_kind}, item {item_kind}, matched int, spanned int, n int").groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("spanned").alias("spanned"), F.max("n").alias("n"))
     return out.withColumnsRenamed({"doc": doc_col, "item": item_col})
 

@@ -255,6 +255,29 @@ def test_leaks_with_few_whole_shingles(spark):
     assert got == {(k, k) for k in range(4)}
 
 
+def test_leaks_of_near_copies_and_phrases(spark):
+    """Half an item that three near copies share is a leak of each of them; a phrase that three items share is one of none."""
+    words = [f"{a}{b}" for a in "bdfgklmnprstv" for b in ("aro", "elu", "imo", "una", "ysk")]
+    half, phrase = words[:24], words[60:65] + words[24:28]
+    ends = [[f"{w}{k}" for w in words[30:54]] for k in "abc"]
+    items = [(k, " ".join(half + ends[k])) for k in range(3)] + [(3 + k, " ".join(ends[k][::-1] + phrase + [f"{w}x{k}" for w in words[:20]])) for k in range(3)]
+    docs = [(1, "då kom " + " ".join(half) + " och gick"), (2, "se " + " ".join(phrase) + " här"), (3, items[4][1])]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in leakage.leaked(d, i).collect()} == {(1, 0), (1, 1), (1, 2), (3, 4)}
+
+
+def test_filter_lets_all_shingles_through(spark):
+    rng = random.Random(2)
+    held = [rng.getrandbits(63) for _ in range(3000)]
+    bits = leakage.shingle_filter(spark.createDataFrame([(h,) for h in held], "shingle long"))
+
+    def passes(values):
+        return sum(all(int(bits[int(p) >> 6]) >> (int(p) & 63) & 1 for p in ps) for ps in zip(*leakage._places(leakage.np.array(values, dtype=leakage.np.int64))))
+
+    assert passes(held) == 3000 and passes([rng.getrandbits(63) for _ in range(3000)]) < 5
+    assert not leakage.shingle_filter(spark.createDataFrame([], "shingle long")).any()
+
+
 def test_folding():
     assert leakage.words("Mö­tes-\nprotokoll <b>Å</b>&nbsp;É") == ["motesprotokoll", "a", "e"]
 
