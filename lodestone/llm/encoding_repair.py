@@ -215,6 +215,35 @@ def garbled_dictionary(tokens: DataFrame) -> DataFrame:
     return ranked.where("k = 1").select(F.col("form").alias("token"), F.when(~F.coalesce(lost, F.lit(False)), F.col("word")).alias("original"), sure.alias("sure"))
 
 
+_MAY_HOLD = re.compile(r"[^\x00-\x7f]|[\[\]{}|\\^~`+]")
+# where tokens stand in a text, and the edges that suspicious_tokens cuts off them
+_TOKEN = re.compile(r"(?<![!-\U0010ffff])[!-~]*\+[A-Za-z0-9/]{3}[!-~]*|(?<![!-,.-\U0010ffff])[!-,.-~]*[^\x00-\x7f][^\x00-\x20-]*|(?<![!-,.-\U0010ffff])[!-,.-~]*[\[\]{}|\\^~`][!-,.-~]*")
+_EDGES = (re.compile(r"[A-Za-z+](?:.*[A-Za-z0-9-])?", re.S), re.compile(r"[@-^`-\U0010ffff](?:.*[@-^`-\U0010ffff])?", re.S), re.compile(r"[A-Za-z\x80-\U0010ffff](?:.*[A-Za-z\x80-\U0010ffff])?", re.S))
+
+
+def repaired(text: str, repairs: dict[str, str]) -> tuple[str, list[tuple[int, int]]]:
+    """text with garbled tokens restored where they stand as tokens, and the (end, shift back, start, raw start) of each there."""
+    if not repairs or not _MAY_HOLD.search(text):
+        return text, []
+    out, steps, at, grown = [], [], 0, 0
+    for m in _TOKEN.finditer(text):
+        for edge in _EDGES:
+            part = edge.search(m[0])
+            new = repairs.get(part[0]) if part else None
+            if new is not None:
+                start, end = m.start() + part.start(), m.start() + part.end()
+                out.append(text[at:start])
+                out.append(new)
+                grown += len(new) - (end - start)
+                steps.append((end + grown, -grown, start + grown - (len(new) - (end - start)), start))
+                at = end
+                break
+    if not steps:
+        return text, []
+    out.append(text[at:])
+    return "".join(out), steps
+
+
 def find_garbled(rows: DataFrame, columns: tuple[str, ...] = ("text", "title"), id_col: str = "id") -> DataFrame:
     """(id, col_name): one row per value with characters from a wrong decoding, restorable or not.
 
@@ -226,20 +255,25 @@ def find_garbled(rows: DataFrame, columns: tuple[str, ...] = ("text", "title"),
     return tokens.join(known, "token", "left_semi").select("id", "col_name").distinct()
 
 
+def _restorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        fixed = [repaired(value, dict(zip(tokens, originals)))[0] for value, tokens, originals in zip(b["value"], b["tokens"], b["originals"])]
+        yield pd.DataFrame({"id": b["id"], "col_name": b["col_name"], "restored": fixed})
+
+
 def restore(rows: DataFrame, columns: tuple[str, ...] = ("text", "title"), id_col: str = "id") -> DataFrame:
-    """(id, col_name, restored): each affected value of distinct ids with its garbled tokens replaced by their originals, longest first.
+    """(id, col_name, restored): each affected value of distinct ids with its garbled tokens replaced by their originals, as whole tokens.
 
-    Tokens whose letters are lost beyond recovery stay as they are. Several versions of one id: the least value is repaired.
+    Tokens whose letters are lost beyond recovery stay as they are, as does what only looks like a token inside another. Several
+    versions of one id: the least result counts.
     """
     tokens = suspicious_tokens(rows, columns, id_col)
     known = small(table_cut(garbled_dictionary(tokens)))
-    per_value = (
-        tokens.join(known, "token")
-        .groupBy("id", "col_name")
-        .agg(F.array_sort(F.collect_set(F.struct((-F.length("token")).alias("l"), "token", F.coalesce("original", "token").alias("original")))).alias("swaps"), F.bool_or("sure").alias("sure"))
-        .where("sure")
-    )
+    swaps = F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "original")))
+    per_value = tokens.join(known, "token").groupBy("id", "col_name").agg(swaps.alias("swaps"), F.bool_or("sure").alias("sure")).where("sure")
+    per_value = per_value.select("id", "col_name", F.col("swaps.token").alias("tokens"), F.col("swaps.original").alias("originals"))
     # the affected values are picked before anything of the text is shuffled
     values = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("value")) for c in columns])).alias("v")).select("id", "v.col_name", "v.value")
-    fixed = F.aggregate("swaps", F.col("value"), lambda s, w: F.replace(s, w["token"], w["original"]))
-    return values.where(F.col("value").isNotNull()).join(small(table_cut(per_value), 20_000), ["id", "col_name"]).groupBy("id", "col_name").agg(F.min(fixed).alias("restored"))
+    affected = values.where(F.col("value").isNotNull()).join(small(table_cut(per_value), 20_000), ["id", "col_name"])
+    fixed = affected.mapInPandas(_restorer, "id string, col_name string, restored string")
+    return fixed.groupBy("id", "col_name").agg(F.min("restored").alias("restored"))

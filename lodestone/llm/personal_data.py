@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import hash_sample, spread
-from lodestone.llm.encoding_repair import garbled_dictionary, suspicious_tokens
+from lodestone.llm.encoding_repair import garbled_dictionary, repaired, suspicious_tokens
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 #: Texts the field is trained on, lexicon entries and repaired tokens that go to the executors, at most.
@@ -74,8 +74,6 @@ _CAPITALISED = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ][^\W\d_]*")
 _INITIAL = re.compile(rf" [{_UP}]\.(?= )")
 _BEFORE = re.compile(rf"(?<![\w])([{_UP}]\. ){{1,2}}\Z")
 _GREETING = re.compile(r"\b(?:hi|hello|dear|hej|hejsan|hey|hallo|liebe|lieber|kære|bonjour|salut|cher|chère|hola|querid[oa]|hei|moi|привет|morning|morgon)[ ,]+\Z", re.I)
-_TOKEN = re.compile(r"(?<![!-\U0010ffff])[!-~]*\+[A-Za-z0-9/]{3}[!-~]*|(?<![!-,.-\U0010ffff])[!-,.-~]*[^\x00-\x7f][^\x00-\x20-]*|(?<![!-,.-\U0010ffff])[!-,.-~]*[\[\]{}|\\^~`][!-,.-~]*")
-_EDGES = (re.compile(r"[A-Za-z+](?:.*[A-Za-z0-9-])?", re.S), re.compile(r"[@-^`-\U0010ffff](?:.*[@-^`-\U0010ffff])?", re.S), re.compile(r"[A-Za-z\x80-\U0010ffff](?:.*[A-Za-z\x80-\U0010ffff])?", re.S))
 
 
 def fold(text: str) -> str:
@@ -83,29 +81,6 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
-def repaired(text: str, repairs: dict[str, str]) -> tuple[str, list[tuple[int, int]]]:
-    """text with garbled tokens restored, and (position there, shift back) steps."""
-    if not repairs or text.isascii() and not ("+" in text or "{" in text or "|" in text or "}" in text or "\\" in text or "[" in text):
-        return text, []
-    out, steps, at, grown = [], [], 0, 0
-    for m in _TOKEN.finditer(text):
-        for edge in _EDGES:
-            part = edge.search(m[0])
-            new = repairs.get(part[0]) if part else None
-            if new is not None:
-                start, end = m.start() + part.start(), m.start() + part.end()
-                out.append(text[at:start])
-                out.append(new)
-                grown += len(new) - (end - start)
-                steps.append((end + grown, -grown, start + grown - (len(new) - (end - start)), start))
-                at = end
-                break
-    if not steps:
-        return text, []
-    out.append(text[at:])
-    return "".join(out), steps
-
-
 def original_position(pos: int, steps: list[tuple], is_end: bool) -> int:
     """Position in the original text of a position in the repaired one; inside a restored token its start or end."""
     shift = 0

@@ -55,3 +55,11 @@ def test_twice_read_russian_is_restored(spark):
     t = table(spark, [*extra, ("clean", word, None)])
     assert {tuple(r) for r in E.find_garbled(t).collect()} == {(name, "text") for name, *_ in extra}
     assert {r["id"]: r["restored"] for r in E.restore(t).collect() if r["id"] in ("cp1251", "koi8_r", "cp866")} == {name: word for name, *_ in extra}
+
+
+def test_only_whole_tokens_are_replaced(spark):
+    clean = ["ett äpple ligger på bordet åt alla"] * 6
+    bad = "{pple ligger p} bordet, se {help} och p}"
+    t = table(spark, [*[(f"k{k}", c, None) for k, c in enumerate(clean)], ("bad", bad, None)])
+    restored = {r["id"]: r["restored"] for r in E.restore(t).collect()}
+    assert restored.get("bad", bad) in ("äpple ligger på bordet, se {help} och på", bad) and "{help" in restored.get("bad", bad)
