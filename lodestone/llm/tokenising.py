@@ -60,7 +60,7 @@ class PerfectHash:
             self.shift[b] = first + at
         at = self.slots(h)
         self.keys: list[bytes] = [b""] * self.n
-        self.ids = np.zeros(self.n, dtype=np.int32)
+        self.ids = [0] * self.n
         for slot, key in zip(at.tolist(), keys):
             self.keys[slot] = key
             self.ids[slot] = items[key]
@@ -79,7 +79,7 @@ class PerfectHash:
         if not words:
             return []
         at = self.slots(np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)).tolist()
-        keys, ids = self.keys, self.ids.tolist()
+        keys, ids = self.keys, self.ids
         return [ids[s] if keys[s] == w else -1 for s, w in zip(at, words)]
 
 
