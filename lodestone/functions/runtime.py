@@ -19,9 +19,11 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, a folder of this process."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset on a local master, as in tests, a folder of this process."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = os.path.join(tempfile.gettempdir(), f"lodestone-{os.getpid()}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)

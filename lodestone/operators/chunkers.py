@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import spread
@@ -39,8 +39,8 @@ def chunk_rows(objects: DataFrame, kind: str | Column, size: int = DEFAULT.chunk
 _HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
 
 
-def markdown_chunks(text: str, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.overlap, most: int = DEFAULT.max_doc_chunks) -> list[str]:
-    """Windows per section, each headed by the path of headings above it; the prefix counts against the size (at least 200 stay)."""
+def markdown_chunks(text: str, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.overlap, most: int | None = DEFAULT.max_doc_chunks) -> list[str]:
+    """Windows per section, each headed by the path of headings above it; the prefix counts against the size (at least 200 stay). most: None for no cap."""
     sections: list[tuple[list[str], list[str]]] = [([], [])]
     path: list[str] = []
     for line in text.split("\n"):
@@ -63,7 +63,7 @@ def markdown_chunks(text: str, size: int = DEFAULT.chunk_size, overlap: int = DE
     return out
 
 
-def chunk_markdown(objects: DataFrame, kind: str = "doc", size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.overlap, most: int = DEFAULT.max_doc_chunks) -> DataFrame:
+def chunk_markdown(objects: DataFrame, kind: str = "doc", size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.overlap, most: int | None = DEFAULT.max_doc_chunks) -> DataFrame:
     """Heading-aware chunk rows; the input is as for chunk_rows. A heading stack is sequential per document, hence Python per batch."""
     extra = "source_id string, project string, title string, created string, updated string, chunk_idx int, text string"
 
@@ -72,10 +72,17 @@ def chunk_markdown(objects: DataFrame, kind: str = "doc", size: int = DEFAULT.ch
             rows = [(*r[:5], k, t) for r in b[["source_id", "project", "title", "created", "updated", "full"]].itertuples(index=False) for k, t in enumerate(markdown_chunks((r[5] or "").replace("\x00", ""), size, overlap, most))]
             yield pd.DataFrame(rows, columns=["source_id", "project", "title", "created", "updated", "chunk_idx", "text"])
 
-    cut = objects.select("source_id", "project", without_nul(F.col("title")).alias("title"), F.coalesce("created", F.lit("")).alias("created"), F.coalesce(F.nullif("updated", F.lit("")), "created", F.lit("")).alias("updated"), "full").mapInPandas(run, extra)
+    cut = spread(objects).select("source_id", "project", without_nul(F.col("title")).alias("title"), F.coalesce("created", F.lit("")).alias("created"), F.coalesce(F.nullif("updated", F.lit("")), "created", F.lit("")).alias("updated"), "full").mapInPandas(run, extra)
     return cut.withColumns({"source_kind": F.lit(kind), "id": F.concat("source_id", F.lit("#"), F.col("chunk_idx").cast("string")), "content_hash": content_hash(F.col("text"))}).select(*COLUMNS)
 
 
+def dropped_chunks(objects: DataFrame, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.overlap, most: int = DEFAULT.max_chunks) -> DataFrame:
+    """(source_id, dropped): how many windows of an object chunk_rows leaves out beyond `most`, for the objects that lose any."""
+    n = F.length(strip(without_nul(F.col("full"))))
+    windows_of = F.ceil(n / F.lit(max(1, size - overlap)))
+    return objects.select("source_id", (windows_of - most).cast("long").alias("dropped")).where("dropped > 0")
+
+
 # File extensions of the languages that have a grammar.
 LANGUAGES = {
     "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx",
@@ -92,8 +99,6 @@ def _size(lines: list[str]) -> int:
     return sum(len("".join(x.split())) for x in lines)
 
 
-
-
 def _python_spans(body: list[ast.stmt], start: int, stop: int, lines: list[str], budget: int) -> list[tuple[int, int]]:
     """Greedy merge of neighbouring statements up to the budget; a statement above it is split at its own body."""
     spans: list[tuple[int, int]] = []
@@ -183,3 +188,18 @@ def chunk_code(files: DataFrame, budget: int = DEFAULT.code_budget, least: int =
             yield pd.DataFrame(rows, columns=["repo", "path", "language", "symbols", "symbol_kind", "start_line", "end_line", "body", "text"])
 
     return files.select("repo", "path", "source").mapInPandas(run, "repo string, path string, language string, symbols array<string>, symbol_kind string, start_line int, end_line int, body string, text string")
+
+
+def code_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunk rows of chunk_code's pieces: ids by repository, path and place, titles `path › symbols` of at most 120 characters, dated by
+    the files' modified day where files (repo, path[, modified]) has it."""
+    place = F.row_number().over(Window.partitionBy("repo", "path").orderBy("start_line", "end_line")) - 1
+    source = F.concat(F.lit("code:"), "repo", F.lit(":"), "path")
+    symbols = F.array_join("symbols", " ")
+    title = F.substring(F.when(symbols != "", F.concat("path", F.lit(" › "), symbols)).otherwise(F.col("path")), 1, 120)
+    if "modified" in files.columns:
+        chunks = chunks.join(files.groupBy("repo", "path").agg(F.min("modified").cast("string").alias("created")), ["repo", "path"], "left")
+    else:
+        chunks = chunks.withColumn("created", F.lit(""))
+    rows = chunks.withColumns({"chunk_idx": place, "source_id": source, "source_kind": F.lit("code"), "project": F.col("repo"), "title": without_nul(title), "created": F.coalesce("created", F.lit(""))})
+    return rows.withColumns({"text": without_nul(F.col("text")), "updated": F.col("created")}).withColumns({"id": F.concat("source_id", F.lit("#"), F.col("chunk_idx").cast("string")), "content_hash": content_hash(F.col("text"))}).select(*COLUMNS)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import spread
@@ -62,24 +66,52 @@ def embed_pairs(pairs: list[tuple[str, str]], embedder: Embedder, shrink: float
 
 
 class Failover:
-    """Embedders in order: one that fails rests for some calls while the next serves; state is the worker's own."""
+    """Embedders in order: one that fails rests for `rest` seconds while the next serves; the last never rests. State is the worker's own.
 
-    def __init__(self, *embedders: Embedder, rest: int = 50):
-        self.embedders, self.rest, self.resting = embedders, rest, [0] * len(embedders)
+    A text that is too long says nothing of an embedder's health: the next ones, which may take more, are tried, and it is raised at the end.
+    """
+
+    def __init__(self, *embedders: Embedder, rest: float = 1800.0, clock: Callable[[], float] = time.monotonic):
+        self.embedders, self.rest, self.clock, self.until = embedders, rest, clock, [float("-inf")] * len(embedders)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        too_long: ContextExceeded | None = None
         last: Exception | None = None
         for k, embedder in enumerate(self.embedders):
-            if self.resting[k] > 0 and k < len(self.embedders) - 1:
-                self.resting[k] -= 1
+            if self.clock() < self.until[k] and k < len(self.embedders) - 1:
                 continue
             try:
-                return embedder(texts)
-            except ContextExceeded:
-                raise
+                out = embedder(texts)
+                self.until[k] = float("-inf")
+                return out
+            except ContextExceeded as why:
+                too_long = why
             except Exception as why:
-                self.resting[k], last = self.rest, why
-        raise last or RuntimeError("no embedder")
+                self.until[k], last = self.clock() + self.rest, why
+        raise too_long or last or RuntimeError("no embedder")
+
+
+class HttpEmbedder:
+    """An endpoint that takes {"input": [texts]} and gives {"data": [{"index", "embedding"}]}; the first `dim` numbers count."""
+
+    def __init__(self, url: str, dim: int, timeout: float = 45.0, model: str | None = None):
+        self.url, self.dim, self.timeout, self.model = url, dim, timeout, model
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        body = {"input": texts} | ({"model": self.model} if self.model else {})
+        call = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(call, timeout=self.timeout) as answer:
+                data = sorted(json.load(answer)["data"], key=lambda d: d["index"])
+        except urllib.error.HTTPError as why:
+            said = why.read().decode("utf-8", "replace")
+            raise (ContextExceeded if "context" in said.lower() or "too large" in said.lower() else RuntimeError)(said[:200]) from why
+        return np.array([d["embedding"][: self.dim] for d in data], dtype=np.float64)
+
+
+def query_text(q: Column, task: str = "Given a search query, retrieve the passages that answer it") -> Column:
+    """What is embedded for a query: the task before it, as models that take instructions expect; texts are embedded as they are."""
+    return F.format_string("Instruct: %s\nQuery: %s", F.lit(task), q)
 
 
 def embed(pending: DataFrame, embedder: Embedder | None = None, batch: int = 64, head: int = DEFAULT.embed_head, digits: int = 6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.runtime import small
+
 
 def matches(blob: Column, fields: dict[str, Column], expectation: Column) -> Column:
     """Whether a result meets an expectation struct<text, fields: map>: the text within the lower-cased blob and every named field's
@@ -16,6 +18,18 @@ def matches(blob: Column, fields: dict[str, Column], expectation: Column) -> Col
     return text_ok & fields_ok & (expectation["text"].isNotNull() | (F.size(named) > 0))
 
 
+def matches_any(blob: Column, fields: dict[str, Column], expectations: Column) -> Column:
+    """Whether a result meets one of a list of expectations; an empty or null list is met by nothing."""
+    return F.coalesce(F.exists(expectations, lambda e: matches(blob, fields, e)), F.lit(False))
+
+
+def judge(hits: DataFrame, cases: DataFrame) -> DataFrame:
+    """hits (qid, id, source_kind, project, title, text, created, ...) that meet one of their case's expectations (qid, expectations)."""
+    names = {c: F.col(c) for c in ("id", "source_kind", "project", "title", "text", "created")}
+    blob = F.concat_ws("\n", *names.values())
+    return hits.join(small(cases.select("qid", "expectations")), "qid").where(matches_any(blob, names, F.col("expectations"))).drop("expectations")
+
+
 def hit_ranks(results: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataFrame:
     """(qid, first_rank) of every case: the least rank of a relevant (qid, id) among results (qid, id, rank), null without one."""
     first = results.join(relevant.select("qid", "id").distinct(), ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("first_rank"))
@@ -33,3 +47,10 @@ def nearest_rank(values: DataFrame, column: str, share: float = 0.95) -> DataFra
     ordered = values.where(F.col(column).isNotNull()).agg(F.array_sort(F.collect_list(column)).alias("v"))
     at = (F.bround((F.size("v") - 1) * share) + 1).cast("int")
     return ordered.select(F.when(F.size("v") > 0, F.try_element_at("v", F.greatest(at, F.lit(1)))).alias("value"))
+
+
+def latency(values: DataFrame, column: str = "ms") -> DataFrame:
+    """One row (latency_ms_avg, latency_ms_p95) of measured milliseconds, rounded to a tenth; zeros without a value."""
+    mean = values.agg(F.round(F.coalesce(F.avg(column), F.lit(0.0)), 1).alias("latency_ms_avg"))
+    top = nearest_rank(values, column).select(F.round(F.coalesce("value", F.lit(0.0)), 1).alias("latency_ms_p95"))
+    return mean.join(top)

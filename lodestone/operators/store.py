@@ -23,10 +23,14 @@ class SourceStatus(Enum):
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", hash_col: str = "content_hash", vector_col: str = "embedding") -> DataFrame:
     """old with the rows of new put in by key; a row keeps its vector unless its hash changed.
 
-    Both sides count each key once (of several new rows the one with the least hash). One full outer join on the key; unchanged columns
-    of old rows pass through, columns that only one side has stay with null for the other.
+    Both sides count each key once (of several rows the one with the least hash, then the least other columns). One full outer join on
+    the key; unchanged columns of old rows pass through, columns that only one side has stay with null for the other.
     """
-    one = lambda df: df.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(hash_col))).where("_r = 1").drop("_r")
+
+    def one(df: DataFrame) -> DataFrame:
+        order = [hash_col, *[c for c in df.columns if c not in (key, hash_col) and "map<" not in df.schema[c].dataType.simpleString()]]
+        return df.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+
     o, n = one(old).alias("o"), one(new).withColumn("_new", F.lit(True)).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     is_new = F.coalesce(F.col("n._new"), F.lit(False))
@@ -65,15 +69,25 @@ def prune(store: DataFrame, seen: DataFrame, status: dict[str, SourceStatus], al
 
 def write_store(rows: DataFrame, path: str, name: str) -> str:
     """rows as a new version `name` of the store, partitioned by kind; returns its path. The caller switches readers over to it, so a
-    version is never overwritten while it is read."""
+    version is never overwritten while it is read. Files are sized by adaptive execution: a large kind is split, small ones are not."""
     target = f"{path.rstrip('/')}/version={name}"
-    rows.select(*CHUNKS.fieldNames()).repartition("source_kind", F.pmod(F.xxhash64("id"), F.lit(64))).write.partitionBy("source_kind").parquet(target)
+    rows.select(*CHUNKS.fieldNames()).hint("rebalance", "source_kind").write.partitionBy("source_kind").parquet(target)
     return target
 
 
+def write_kinds(rows: DataFrame, path: str, name: str) -> dict[str, str]:
+    """write_store, and the folder of each kind in it."""
+    target = write_store(rows, path, name)
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    folders = [f.getPath().getName() for f in found if f.isDirectory()]
+    return {f.partition("=")[2]: f"{target}/{f}" for f in folders if f.startswith("source_kind=")}
+
+
 def set_vectors(store: DataFrame, vectors: DataFrame, digits: int = 6) -> DataFrame:
-    """store with the vectors (id, embedding) put in, rounded to the stored number of digits."""
-    fresh = vectors.where(F.col("id").isNotNull()).groupBy("id").agg(F.first("embedding").alias("_vec"))
+    """store with the vectors (id, embedding) put in, rounded to the stored number of digits; of several for an id the least counts."""
+    fresh = vectors.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("embedding").alias("_vec"))
     rounded = F.transform("_vec", lambda x: F.round(x.cast("double"), digits).cast("float"))
     return store.join(fresh, "id", "left").withColumn("embedding", F.coalesce(rounded, "embedding")).select(*store.columns)
 

@@ -46,7 +46,6 @@ class Config:
     exact_limit: int = 25
     soft_terms: int = 12
     soft_rows: int = 12
-    soft_candidates: int = 5000
     rrf_k: int = 60
     weight_exact: float = 2.4
     weight_strict: float = 1.6
@@ -55,7 +54,8 @@ class Config:
     exact_bonus: float = 0.02
     recency_weight: float = 0.05
     recency_days: int = 730
-    prefix_chars: int = 4
+    #: Letters from which a soft term matches as a prefix; None: never.
+    prefix_chars: int | None = 4
     session_text_max: int = 12000
     commit_max: int = 4000
     doc_max_bytes: int = 600_000

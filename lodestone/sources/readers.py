@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators.chunkers import LANGUAGES
 from lodestone.schema import DEFAULT
+from lodestone.sources.files import SKIPPED_PARTS
+from lodestone.sources.mbox import raw_mails
 from lodestone.sources.records import commits, first_of, git_log, mails, threads
 
-# Path parts that hold no documents, and markers of text that tools write into sessions.
-SKIPPED_PARTS = ["/archive/", "/vendor/", "/node_modules/", "/."]
+# Path parts that hold no source code, and markers of text that tools write into sessions.
 CODE_SKIPPED = ["/vendor/", "/node_modules/", "/.git/", "/dist/", "/build/", "/tmp/", "/coverage/", "/.venv/", "/target/", ".min.js", ".min.css"]
 SESSION_NOISE = [
     "<system-reminder>", "This session is being continued", "Caveat:", "# CLAUDE.md", "Codebase and user instructions are shown below",
@@ -56,11 +53,11 @@ def chats_by_list(spark: SparkSession, path: str) -> DataFrame:
 def notes(spark: SparkSession, path: str, sidecar: str | None = None) -> DataFrame:
     """Text files as notes, dated by a JSON sidecar of active notes joined on normalised content; unmatched notes have no date.
 
-    Of sidecar notes with one content the oldest counts; trashed ones don't.
+    Of sidecar notes with one content the oldest counts; trashed ones don't. A sidecar that isn't there costs the dates only.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("full")).where(X.strip(F.col("full")) != "")
     files = files.withColumn("key", X.note_key(F.col("full")))
-    if sidecar:
+    if sidecar and _is_there(spark, sidecar):
         dates = spark.read.option("multiLine", True).schema("activeNotes array<struct<id:string,content:string,creationDate:string,lastModified:string>>").json(sidecar)
         dates = dates.select(F.explode("activeNotes").alias("n")).select(X.note_key(F.col("n.content")).alias("key"), F.substring("n.creationDate", 1, 10).alias("created"), F.substring("n.lastModified", 1, 10).alias("updated"))
         files = files.join(first_of(dates, ["key"], [F.asc_nulls_last(F.nullif("created", F.lit(""))), "updated"]), "key", "left")
@@ -70,12 +67,17 @@ def notes(spark: SparkSession, path: str, sidecar: str | None = None) -> DataFra
     return files.select(F.concat(F.lit("note:"), title).alias("source_id"), F.lit("simplenote").alias("project"), title.alias("title"), "full", F.coalesce("created", F.lit("")).alias("created"), F.coalesce("updated", F.lit("")).alias("updated"))
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def documents(spark: SparkSession, root: str, project: str | None = None, most: int = DEFAULT.doc_max_bytes) -> DataFrame:
     """Markdown and text files below root; hidden and generated folders, oversized and blank files are left out. Created is a date in the
     file name, else the file's time; the project is the first folder unless given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").load(root)
     rel = F.substring_index("path", root.rstrip("/") + "/", -1)
-    for part in SKIPPED_PARTS:
+    for part in [*SKIPPED_PARTS, "/."]:
         files = files.where(~F.contains(F.concat(F.lit("/"), rel), F.lit(part)))
     stamp = F.date_format("modificationTime", "yyyy-MM-dd")
     named = F.regexp_extract(rel, r"(20\d\d)[-_](\d\d)[-_](\d\d)[^/]*$", 0)
@@ -87,10 +89,10 @@ def documents(spark: SparkSession, root: str, project: str | None = None, most:
 
 def sessions(spark: SparkSession, roots: list[str], most: int = DEFAULT.session_text_max) -> DataFrame:
     """Agent sessions in JSON lines: user and assistant texts in order; a session in several roots counts from the first. Sub-agents, compact
-    summaries, tool noise and overlong texts are left out, unreadable lines skipped."""
+    summaries, tool noise and overlong texts are left out, unreadable lines skipped. Lines are ordered by file block, then as read in it."""
     rows = None
     for k, root in enumerate(roots):
-        one = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select(F.lit(k).alias("root"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+        one = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select(F.lit(k).alias("root"), F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("line"), "value")
         rows = one if rows is None else rows.unionByName(one)
     msg = F.from_json("value", "type string, timestamp string, isCompactSummary boolean, message struct<role:string,content:variant>")
     kind = F.schema_of_variant("content")
@@ -111,28 +113,9 @@ def noise_free(rows: DataFrame, column: str, most: int = DEFAULT.session_text_ma
     return rows.where((F.length(column) <= most) & (X.strip(F.col(column)) != "") & ~F.exists(markers, lambda m: F.contains(column, m)))
 
 
-_ENVELOPE = re.compile(rb"^From \S+ .*\d{4}\s*$")
-
-
-def split_mbox(data: bytes) -> Iterator[bytes]:
-    """Mails of an mbox, parted only at whole envelope lines, not at any line that starts with From."""
-    lines, started = [], False
-    for line in data.split(b"\n"):
-        if _ENVELOPE.match(line):
-            if started:
-                yield b"\n".join(lines)
-            lines, started = [], True
-        lines.append(line)
-    if started:
-        yield b"\n".join(lines)
-
-
 def mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Mails of mbox files, read in line blocks: a running count of envelope lines per file would need its order, so lines are split by the
-    reader at envelopes (lineSep), one record per mail, whatever the file's size."""
-    raw = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_name").alias("origin"), "value")
-    with_envelope = raw.where(X.strip(F.col("value")) != "").select(F.encode(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), "UTF-8").alias("raw"), "origin")
-    return mails(with_envelope)
+    """Mails of mbox files, read as bytes in ranges and parted at whole envelope lines only."""
+    return mails(raw_mails(spark, path).select("raw", "origin"))
 
 
 def git_commits(spark: SparkSession, path: str) -> DataFrame:
@@ -142,13 +125,13 @@ def git_commits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, root: str, repo: str, most: int = DEFAULT.code_max_bytes) -> DataFrame:
-    """(repo, path, source) of the files of known languages below root, for chunk_code."""
+    """(repo, path, source, modified) of the files of known languages below root, for chunk_code."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.substring_index("path", root.rstrip("/") + "/", -1)
     known = F.lower(F.regexp_extract(rel, r"\.([A-Za-z]+)$", 1)).isin(*LANGUAGES)
     for part in CODE_SKIPPED:
         files = files.where(~F.contains(F.concat(F.lit("/"), rel), F.lit(part)))
-    rows = files.where((F.col("length") <= most) & known).select(F.lit(repo).alias("repo"), rel.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("source"))
+    rows = files.where((F.col("length") <= most) & known).select(F.lit(repo).alias("repo"), rel.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("source"), F.date_format("modificationTime", "yyyy-MM-dd").alias("modified"))
     return rows.where("source is not null")
 
 
@@ -168,19 +151,28 @@ def screenshots(files: DataFrame, labels: DataFrame, ocr, cache: DataFrame | Non
 
 def class_rules(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, mail_class, sender_domain) of a config of lines `class domain`; comments and short lines are left out."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for whole in b["value"]:
-                for k, line in enumerate(whole.split("\n"), 1):
-                    parts = line.split("#")[0].lower().split()
-                    if len(parts) == 2:
-                        out.append((k, parts[0], parts[1]))
-            yield pd.DataFrame(out, columns=["line_no", "mail_class", "sender_domain"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "line_no int, mail_class string, sender_domain string")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    parts = F.split(X.strip(F.lower(F.substring_index("line", "#", 1))), r"\s+")
+    return lines.select((F.col("k") + 1).cast("int").alias("line_no"), parts.alias("p")).where(F.size("p") == 2).select("line_no", F.col("p")[0].alias("mail_class"), F.col("p")[1].alias("sender_domain"))
 
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, query, scope, project, expected) of a JSON list of cases."""
-    return spark.read.option("multiLine", True).schema("query string, must_match variant, expected variant, scope string, project string, why string").json(path).withColumn("qid", F.xxhash64("query"))
+    """(qid, query, kinds, projects, expectations) of a JSON list of cases: scope and project (or repo) a text or a list of texts,
+    must_match (or expected) a text, an object or a list of either; texts and `contains` are sought in the whole result, other names in that field."""
+    schema = "array<struct<query:string,must_match:variant,expected:variant,scope:variant,project:variant,repo:variant>>"
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)).alias("qid", "c")).select("qid", "c.*").where("query is not null")
+
+    def texts(c: str):
+        kind = F.schema_of_variant(c)
+        return F.when(kind == "STRING", F.array(F.variant_get(c, "$", "string"))).when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(c, "$", "array<string>"))
+
+    want = F.coalesce("must_match", "expected")
+    each = F.when(F.startswith(F.schema_of_variant(want), F.lit("ARRAY")), F.try_variant_get(want, "$", "array<variant>")).when(want.isNotNull(), F.array(want))
+
+    def expectation(v):
+        named = F.coalesce(F.try_variant_get(v, "$", "map<string,string>"), F.create_map().cast("map<string,string>"))
+        is_text = F.schema_of_variant(v) == "STRING"
+        text = F.when(is_text, F.variant_get(v, "$", "string")).otherwise(F.nullif(F.try_element_at(named, F.lit("contains")), F.lit("")))
+        return F.struct(text.alias("text"), F.when(is_text, F.create_map().cast("map<string,string>")).otherwise(F.map_filter(named, lambda k, x: (k != "contains") & (x != ""))).alias("fields"))
+
+    return raw.select("qid", "query", texts("scope").alias("kinds"), F.coalesce(texts("project"), texts("repo")).alias("projects"), F.coalesce(F.transform(each, expectation), F.array().cast("array<struct<text:string,fields:map<string,string>>>")).alias("expectations"))

@@ -1,6 +1,8 @@
+import pytest
 from lodestone.operators import classify, embedding, store
 from lodestone.operators.store import SourceStatus as S
 from lodestone.sources import readers, records
+from lodestone.sources.mbox import split_mbox
 from lodestone.streaming import incremental
 
 STORE = "id string, source_kind string, project string, content_hash string, embedding array<float>"
@@ -51,7 +53,7 @@ def test_mails():
     html = records.parse_mail(b"Subject: s\nContent-Type: text/html\n\n<p>a &amp; b</p><style>x</style>")
     assert html["full"].endswith("a & b")
     box = b"From a@b Mon Jan  1 00:00:00 2024\nSubject: 1\n\nFrom here on\n\nFrom c@d Mon Jan  1 00:00:00 2024\nSubject: 2\n\nx\n"
-    assert len(list(readers.split_mbox(box))) == 2
+    assert len(list(split_mbox(iter(box.splitlines(keepends=True))))) == 2
 
 
 def test_readers(spark, tmp_path):
@@ -110,9 +112,20 @@ def test_embedding_bisects_and_records():
         calls.append(1)
         raise RuntimeError("down")
 
-    both = embedding.Failover(broken, embedding.HashEmbedder(4))
+    now = [0.0]
+    both = embedding.Failover(broken, embedding.HashEmbedder(4), rest=60, clock=lambda: now[0])
     both(["a"]), both(["b"])
     assert len(calls) == 1
+    now[0] = 61
+    both(["c"])
+    assert len(calls) == 2
+
+    def short(texts):
+        raise embedding.ContextExceeded("short")
+
+    assert len(embedding.Failover(short, embedding.HashEmbedder(4), clock=lambda: now[0])(["a"])) == 1
+    with pytest.raises(embedding.ContextExceeded):
+        embedding.Failover(short, broken, clock=lambda: now[0])(["a"])
 
 
 def test_incremental_state(spark):
