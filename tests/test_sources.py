@@ -45,6 +45,7 @@ def test_walk_never_enters_hidden_or_skipped_folders(spark, tmp_path, monkeypatc
     got = {r["source_id"]: r for r in files.documents_of(spark, roots).collect()}
     assert set(got) == {"doc:one:single.md", "doc:a:a/.hidden.md", "doc:a:a/2021-03-04 note.md", "doc:a:a/b.md", "doc:texts:a/c.txt"}
     assert got["doc:a:a/2021-03-04 note.md"]["created"] == "2021-03-04" and got["doc:a:a/b.md"]["title"] == "b"
+    monkeypatch.undo()
     assert files.documents_of(spark, []).count() == 0 and files.is_placeholder(str(tmp_path / "gone")) is True
 
 
