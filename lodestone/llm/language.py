@@ -68,7 +68,7 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             gap = code == 0
             for k in range(n):
                 inside &= ~gap[k : len(code) - n + 1 + k]
-            found.append((h % np.uint64(BUCKETS)).astype(np.int64)[inside])
+            found.append((h[inside] & np.uint64(BUCKETS - 1)).astype(np.int64))
             owners.append(owner[: len(h)][inside])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -197,13 +197,30 @@ def test_words_that_only_look_like_an_address():
         assert personal_data.addresses(text) == []
 
 
-def test_common_words_are_counted_over_all_texts(spark):
+def test_common_words_are_counted_over_all_texts(spark, monkeypatch):
     lower = ["nu kom ekman och skrev till anna.ekman@x.example"] * 4
     rows = [(t,) for t in [*lower, "x " * 10001 + "Ekman Ekman Ekman Ekman Ekman", "Am am am https://x.example/ekman www.x.example/ekman", None]]
     df = spark.createDataFrame(rows, "text string")
-    names = {"given": {"anna": 3, "am": 2}, "family": {"ekman": 4}, "town": {"am": 2}}
-    lexicon, _ = personal_data.fit(df, names)
-    assert lexicon == {"given": {"anna": 3}, "family": {"ekman": 4}, "town": {"am": 2}}
+    names = [("given", "anna", 3), ("given", "am", 2), ("family", "ekman", 4), ("town", "am", 2)]
+    want = {"given": {"anna": 3}, "family": {"ekman": 4}, "town": {"am": 2}}
+    for limit in (100, 1):
+        monkeypatch.setattr(personal_data, "LEXICON", limit)
+        lexicon = personal_data.without_common_words(df, spark.createDataFrame(names, "role string, token string, n long"))
+        assert personal_data.as_lexicon(lexicon.collect()) == want
+
+
+def test_mentions_are_the_same_beyond_the_broadcast(spark, monkeypatch):
+    people = [("Åsa", "Ekman"), ("Olle", "Lundqvist"), ("Freja", "Öberg")]
+    clean = [f"From: {g} {f} <{g}.{f}@x.example>\nHej {people[(k + 1) % 3][0]}! Bor på Storgatan {k}, 123 45 Vieux-Marlin. Ring {g} {f} på 070-174 06 48.\n/{g}" for k, (g, f) in enumerate(people * 6)]
+    ascii_mail = str.maketrans("åäöÅÄÖ", "aaoAAO")
+    texts = [t.split("@")[0].translate(ascii_mail).replace("Asa Ekman <", "Åsa Ekman <").replace("Freja Oberg <", "Freja Öberg <") + "@" + t.split("@", 1)[1] for t in clean]
+    texts += [t.encode().decode("cp1252", "replace") for t in texts[:3]]
+    df = spark.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)] + [("k0", texts[0]), (None, texts[0]), ("n", None)], "id string, text string")
+    whole = {tuple(r) for r in personal_data.find_mentions(df).collect()}
+    monkeypatch.setattr(personal_data, "LEXICON", 1)
+    monkeypatch.setattr(personal_data, "REPAIRS", 0)
+    assert {tuple(r) for r in personal_data.find_mentions(df).collect()} == whole and len(whole) > 100
+    assert personal_data.mask_mentions(df).where("id = 'k1'").first()["text"].startswith("From: [NAME] <[EMAIL]>")
 
 
 # --- leakage
@@ -287,7 +304,7 @@ def test_folding():
 
 def test_residue(spark):
     prose = [" ".join(random.Random(k).choices("the archive moved our key before lunch and nobody noticed until numbers looked odd again while we walked home".split(), k=40)) + "." for k in range(80)]
-    prose += ["The row was full for 3 days and everything is now counted. It was late for us all, and she is now at home."] * 40
+    prose += ["The row was full for 3 days and everything is now counted. It was late for us all, and she is now at home."] * 200
     ratios = residue.train(prose)
     cases = {
         1: "404 Not Found\n\nPlease try again later.", 2: "Please enable JavaScript to view this page.", 3: "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", 4: "Hello {{ first_name }}, please find the key.", 5: "Dear undefined, your request was received.",
