@@ -18,12 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.runtime import hash_sample, spread
+from lodestone.functions.runtime import hash_sample, spread, table_cut
 from lodestone.llm.encoding_repair import garbled_dictionary, repaired, suspicious_tokens
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-#: Texts the field is trained on, lexicon entries and repaired tokens that go to the executors, at most.
-TRAINING_TEXTS, LEXICON, REPAIRS = 4000, 200_000, 400_000
+#: What a word of the lexicon can be.
+ROLES = ("given", "family", "town")
+#: Texts the field is trained on, at most.
+TRAINING_TEXTS = 4000
+#: Lexicon entries and repaired tokens up to which they are broadcast whole; more are joined to the texts that hold them.
+LEXICON, REPAIRS = 200_000, 400_000
 ROUNDS = 6
 #: Log-odds shift of every decision; 0 weighs precision and recall alike.
 BIAS = 0.0
@@ -404,27 +408,34 @@ def _harvest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(r, t, n) for (r, t), n in out.items()], columns=["role", "token", "n"])
 
 
-def learn_lexicon(rows: DataFrame, text_col: str = "text", least: int = 2) -> dict[str, dict[str, int]]:
-    """Given names, family names and towns with their counts over all rows: names whose mail address repeats them, towns behind postcodes."""
+def learn_lexicon(rows: DataFrame, text_col: str = "text", least: int = 2) -> DataFrame:
+    """(role, token, n): given names, family names and towns with their counts over all rows: names whose mail address repeats them, towns
+    behind postcodes. What is more often a family name is no given name."""
     seen = rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInPandas(_harvest, "role string, token string, n long")
-    top = seen.groupBy("role", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "role", "token").limit(LEXICON).collect()
-    out: dict[str, dict[str, int]] = {"given": {}, "family": {}, "town": {}}
-    for r in top:
-        out[r["role"]][r["token"]] = r["n"]
-    for token in [t for t in out["given"] if out["family"].get(t, 0) > out["given"][t]]:
-        del out["given"][token]
+    top = seen.groupBy("role", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    by_token = top.groupBy("token").agg(*[F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0)).alias(role) for role in ROLES])
+    kept = F.array(*[F.struct(F.lit(role).alias("role"), (F.when(F.col("family") <= F.col("given"), F.col("given")).otherwise(0) if role == "given" else F.col(role)).cast("long").alias("n")) for role in ROLES])
+    return by_token.select("token", F.explode(F.filter(kept, lambda k: k["n"] > 0)).alias("k")).select("k.role", "token", "k.n")
+
+
+def as_lexicon(rows) -> dict[str, dict[str, int]]:
+    """{role: {token: n}} of (role, token, n) rows."""
+    out: dict[str, dict[str, int]] = {role: {} for role in ROLES}
+    for role, token, n in rows:
+        out[role][token] = n
     return out
 
 
-def learn_repairs(rows: DataFrame, text_col: str = "text", id_col: str = "id") -> dict[str, str]:
-    """Garbled token -> original over the corpus, so that garbled mentions are found in place."""
-    found = garbled_dictionary(suspicious_tokens(rows, (text_col,), id_col)).where(F.col("original").isNotNull())
-    return {r[0]: r[1] for r in found.select("token", "original").orderBy("token").limit(REPAIRS).collect()}
+def learn_repairs(rows: DataFrame, text_col: str = "text", id_col: str = "id") -> DataFrame:
+    """(token, original) of garbled tokens over the corpus, so that garbled mentions are found in place."""
+    return garbled_dictionary(suspicious_tokens(rows, (text_col,), id_col)).where(F.col("original").isNotNull()).select("token", "original")
 
 
 def _case_counter(shared) -> Callable:
+    """Counts of the words of shared, or of all words for None."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known = None if shared is None else shared.value
         for b in batches:
             tokens: Counter = Counter()
             for text in b["text"]:
@@ -438,35 +449,67 @@ def _case_counter(shared) -> Callable:
                 if "@" in token or "://" in token or "www." in token:
                     continue
                 for w in _WORD.findall(token):
-                    if (low := w.casefold()) in known:
+                    low = w.casefold()
+                    if known is None or low in known:
                         out.setdefault(low, [0, 0])[not w[0].islower()] += n
-            yield pd.DataFrame([(w, *n) for w, n in out.items()], columns=["word", "lower", "upper"])
+            yield pd.DataFrame([(w, *n) for w, n in out.items()], columns=["token", "lower", "upper"])
 
     return run
 
 
-def common_words(rows: DataFrame, words: set[str], text_col: str = "text") -> set[str]:
-    """Those of the words that all rows together write in lower case more often than not, mail addresses and URLs aside.
+def common_words(rows: DataFrame, words: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token): those of the words (token) that all rows together write in lower case more often than not, mail addresses and URLs aside.
 
     One pass; a batch sends one row for each of the words it holds, summed before and after the shuffle.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+    few = [r[0] for r in words.select("token").distinct().limit(LEXICON + 1).collect()]
+    shared = rows.sparkSession.sparkContext.broadcast(set(few)) if len(few) <= LEXICON else None
     texts = spread(rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")))
-    seen = texts.mapInPandas(_case_counter(shared), "word string, lower long, upper long").groupBy("word").agg(F.sum("lower").alias("lower"), F.sum("upper").alias("upper"))
-    return {r["word"] for r in seen.where(F.col("lower") > F.col("upper")).select("word").collect()}
+    seen = texts.mapInPandas(_case_counter(shared), "token string, lower long, upper long").groupBy("token").agg(F.sum("lower").alias("lower"), F.sum("upper").alias("upper"))
+    common = seen.where(F.col("lower") > F.col("upper")).select("token")
+    return common if shared is not None else common.join(words.select("token").distinct(), "token", "left_semi")
+
+
+def without_common_words(rows: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """The lexicon (role, token, n) without the names that the rows mostly write in lower case."""
+    names = lexicon.where("role <> 'town'")
+    drop = common_words(rows, names, text_col).withColumn("_drop", F.lit(True))
+    return lexicon.join(drop, "token", "left").where((F.col("role") == "town") | F.col("_drop").isNull()).select("role", "token", "n")
+
+
+_TOWN_AHEAD = re.compile(rf"(?<!\w)(?=({_TOWN}))")
+
 
+def _words_of(text: str) -> set[str]:
+    """What of a text may be in a lexicon, in lower case: its words, and the runs that towns are read as, whole and their first part."""
+    runs = {m[1].casefold() for m in _TOWN_AHEAD.finditer(text)}
+    return runs | {r.split(" ")[0] for r in runs} | {w.casefold() for w in _WORD.findall(text)}
 
-def without_common_words(rows: DataFrame, lexicon: dict[str, dict[str, int]], text_col: str = "text") -> dict[str, dict[str, int]]:
-    """The lexicon without the names that the rows mostly write in lower case."""
-    drop = common_words(rows, {t for role, names in lexicon.items() if role != "town" for t in names}, text_col)
-    return {role: {t: n for t, n in names.items() if role == "town" or t not in drop} for role, names in lexicon.items()}
+
+def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        pairs = [(i, w) for i, t in zip(b["id"], b["text"]) for w in _words_of(t)]
+        yield pd.DataFrame(pairs, columns=["id", "token"])
+
+
+def own_knowledge(texts: DataFrame, lexicon: DataFrame, repairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id, names, fixes): of the lexicon and the repairs what each text (id, text) can hold, its repaired words included.
+
+    The exact way for lexicons and repairs that are too many to broadcast: they meet the words of the texts in shuffled joins. tokens
+    are the suspicious tokens (id, token) of the texts.
+    """
+    fixed = tokens.select("id", "token").join(repairs, "token")
+    words = texts.mapInPandas(_word_rows, "id string, token string").unionByName(fixed.select("id", F.col("original").alias("text")).mapInPandas(_word_rows, "id string, token string"))
+    names = words.join(lexicon, "token").groupBy("id").agg(F.collect_set(F.struct("role", "token", "n")).alias("names"))
+    fixes = fixed.groupBy("id").agg(F.collect_set(F.struct("token", "original")).alias("fixes"))
+    return names.join(fixes, "id", "full_outer")
 
 
-def fit(rows: DataFrame, lexicon: dict[str, dict[str, int]], text_col: str = "text", limit: int = TRAINING_TEXTS) -> tuple[dict, Field]:
-    """The lexicon without common words, counted over all texts, and the field, from at most limit texts chosen by hash so that the choice is stable."""
+def fit(rows: DataFrame, lexicon: DataFrame, text_col: str = "text", limit: int = TRAINING_TEXTS) -> Field:
+    """The field from at most limit texts chosen by hash so that the choice is stable, with what of the lexicon they hold."""
     texts = hash_sample(rows.where(F.length(text_col).between(1, 20000)), text_col, limit)
-    lexicon = without_common_words(rows, lexicon, text_col)
-    return lexicon, train(texts, lexicon)
+    held = rows.sparkSession.createDataFrame([(w,) for w in sorted({w for t in texts for w in _words_of(t)})], "token string")
+    return train(texts, as_lexicon(lexicon.join(held, "token", "left_semi").select("role", "token", "n").collect()))
 
 
 def mentions_of(texts: list[str], lexicon: dict, repairs: dict[str, str], field: Field) -> list[list[tuple[str, int, int]]]:
@@ -499,13 +542,20 @@ def mentions_of(texts: list[str], lexicon: dict, repairs: dict[str, str], field:
 
 
 def _finder(shared, mask: bool) -> Callable:
+    """Mentions or masked texts of batches; a batch that brings names and fixes of its own is worked off with these."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, repairs, field = shared.value
         for big in batches:
             for at in range(0, len(big), 400):
                 b = big.iloc[at : at + 400]
                 texts = b["text"].tolist()
-                found = mentions_of(texts, lexicon, repairs, field)
+                if lexicon is None:
+                    names = as_lexicon({(n["role"], n["token"], n["n"]) for row in b["names"] if row is not None for n in row})
+                    fixes = {f["token"]: f["original"] for row in b["fixes"] if row is not None for f in row}
+                else:
+                    names, fixes = lexicon, repairs
+                found = mentions_of(texts, names, fixes, field)
                 if mask:
                     yield pd.DataFrame({"id": b["id"], "text": [placeholders(t, f) for t, f in zip(texts, found)]})
                 else:
@@ -522,18 +572,24 @@ def placeholders(text: str, found: list[tuple[str, int, int]]) -> str:
 
 
 def _prepared(rows: DataFrame, model, id_col: str, text_col: str):
-    if model is None:
-        lexicon, field = fit(rows, learn_lexicon(rows, text_col), text_col)
-        model = (lexicon, learn_repairs(rows, text_col, id_col), field)
-    texts = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.sparkSession.sparkContext.broadcast(model), spread(texts)
+    spark = rows.sparkSession
+    texts = spread(rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
+    if model is not None:
+        return spark.sparkContext.broadcast(model), texts
+    lexicon = table_cut(without_common_words(rows, table_cut(learn_lexicon(rows, text_col)), text_col))
+    field, repairs = fit(rows, lexicon, text_col), table_cut(learn_repairs(rows, text_col, id_col))
+    if lexicon.count() <= LEXICON and repairs.count() <= REPAIRS:
+        return spark.sparkContext.broadcast((as_lexicon(lexicon.collect()), {r[0]: r[1] for r in repairs.collect()}, field)), texts
+    own = own_knowledge(texts, lexicon, repairs, suspicious_tokens(texts, ("text",)))
+    return spark.sparkContext.broadcast((None, None, field)), texts.join(own, "id", "left")
 
 
 def find_mentions(rows: DataFrame, model: tuple | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, pii_kind, start_pos, end_pos): every mention once, in code points of the text as it stands.
 
     Null ids and null or empty texts give no row; repeated rows give their mentions once. Whole texts are worked off where they lie;
-    only mentions are shuffled. What is sent out (lexicon, repairs, weights) is bounded by LEXICON and REPAIRS.
+    only mentions are shuffled. Lexicon and repairs are broadcast up to LEXICON and REPAIRS; beyond, each text is joined with what of
+    them it holds, and the mentions are the same.
     """
     shared, texts = _prepared(rows, model, id_col, text_col)
     return texts.mapInPandas(_finder(shared, False), "id string, pii_kind string, start_pos int, end_pos int").distinct()
