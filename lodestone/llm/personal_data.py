@@ -31,6 +31,8 @@ LEXICON, REPAIRS = 200_000, 400_000
 ROUNDS = 6
 #: Log-odds shift of every decision; 0 weighs precision and recall alike.
 BIAS = 0.0
+#: Log-odds at which labelled candidates are held in training, weight of the couplings' prior at zero, and the strongest coupling.
+HELD, PRIOR, STRONGEST = 30.0, 20.0, 1.0
 
 _UP = "A-ZÅÄÖÉÈÜÆØÇÑÁÍÓÚÀÂÊÎÔŠŽ"
 # The at sign and the dot as sv, en, de, da, no, fr, es, fi and ru spell them.
@@ -330,6 +332,28 @@ def cautious_label(text: str, c: tuple) -> int | None:
     return None
 
 
+def propagate(unary: np.ndarray, edges: np.ndarray, couplings: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds of every node, expected agreement of both ends of every edge) after rounds of loopy message passing.
+
+    Nodes are +1 or -1 with fields unary / 2, an edge (i, j, type) couples its ends by couplings[type]; all texts are worked off at once.
+    """
+    h = unary / 2
+    if not len(edges):
+        return 2 * h, np.zeros(0)
+    n = len(edges)
+    a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    twin = np.concatenate([np.arange(n) + n, np.arange(n)])
+    t = np.tanh(np.asarray(couplings))[np.concatenate([edges[:, 2], edges[:, 2]])]
+    m = np.zeros(len(a))
+    for _ in range(rounds):
+        total = h + np.bincount(b, weights=m, minlength=len(h))
+        m = 0.5 * m + 0.5 * np.arctanh(np.clip(t * np.tanh(total[a] - m[twin]), -0.999999, 0.999999))
+    total = h + np.bincount(b, weights=m, minlength=len(h))
+    # what each end is without the other
+    x, y = np.tanh(total[a[:n]] - m[twin[:n]]), np.tanh(total[b[:n]] - m[:n])
+    return 2 * total, (t[:n] + x * y) / (1 + t[:n] * x * y)
+
+
 class Field:
     """Trained potentials: weight per feature, and coupling of chain and skip edges."""
 
@@ -337,48 +361,42 @@ class Field:
         self.weights, self.couplings = weights, couplings
 
     def marginals(self, unary: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Log-odds of every node after ROUNDS of loopy message passing over all texts of a batch at once."""
-        h = unary / 2
-        if len(edges):
-            a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            twin = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-            t = np.tanh(np.array(self.couplings))[np.concatenate([edges[:, 2], edges[:, 2]])]
-            m = np.zeros(len(a))
-            for _ in range(ROUNDS):
-                total = h + np.bincount(b, weights=m, minlength=len(h))
-                new = np.arctanh(np.clip(t * np.tanh(total[a] - m[twin]), -0.999999, 0.999999))
-                m = 0.5 * m + 0.5 * new
-            h = h + np.bincount(b, weights=m, minlength=len(h))
-        return 2 * h + BIAS
-
-
-def train(texts: list[str], lexicon: dict[str, dict[str, int]], rounds: int = 150, rate: float = 0.3) -> Field:
-    """Logistic potentials from the clear candidates; couplings from how often linked clear candidates agree."""
-    rows, labels, agree = [], [], [[1.0, 1.0], [1.0, 1.0]]
+        """Log-odds of every node of a batch of texts."""
+        return propagate(unary, edges, np.array(self.couplings))[0] + BIAS
+
+
+def train(texts: list[str], lexicon: dict[str, dict[str, int]], rounds: int = 100, rate: float = 0.3) -> Field:
+    """Potentials and couplings that make the clear candidates likeliest, the unclear ones summed out: both by gradient, the expectations
+    by message passing over all candidates, once with the clear ones held at their labels and once without."""
+    cols, rows, labels, edges = [], [], [], []
     names: dict[str, int] = {}
     for text in texts:
         found = candidates(text, lexicon)
-        gold = [cautious_label(text, c) for c in found]
-        for c, y in zip(found, gold):
-            if y is not None:
-                rows.append([names.setdefault(f, len(names)) for f in node_features(text, c)])
-                labels.append(y)
-        for i, j, kind in skip_edges(found):
-            if gold[i] is not None and gold[j] is not None:
-                agree[kind][int(gold[i] == gold[j])] += 1
-    w = np.zeros(max(1, len(names)))
-    if rows:
-        col = np.concatenate(rows)
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        y = np.array(labels, dtype=float)
-        scale = np.zeros(len(w)) + 1e-8
+        edges += [(i + len(labels), j + len(labels), kind) for i, j, kind in skip_edges(found)]
+        for c in found:
+            own = [names.setdefault(f, len(names)) for f in node_features(text, c)]
+            cols += own
+            rows += [len(labels)] * len(own)
+            label = cautious_label(text, c)
+            labels.append(np.nan if label is None else 2.0 * label - 1)
+    w, j = np.zeros(max(1, len(names))), np.zeros(2)
+    if labels:
+        col, row, y = np.array(cols), np.array(rows), np.array(labels)
+        linked = np.array(edges, dtype=np.int64).reshape(-1, 3)
+        clear = ~np.isnan(y)
+        w_scale, j_scale = np.zeros(len(w)) + 1e-8, np.zeros(2) + 1e-8
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.bincount(row, weights=w[col], minlength=len(y))))
-            g = np.bincount(col, weights=(p - y)[row], minlength=len(w)) + 0.5 * w
-            scale += g * g
-            w -= rate * g / np.sqrt(scale)
-    couple = tuple(float(np.clip(0.25 * np.log(yes / no), 0.0, (0.05, 0.4)[k])) for k, (no, yes) in enumerate(agree))
-    return Field({f: float(w[k]) for f, k in names.items()}, couple)
+            u = np.bincount(row, weights=w[col], minlength=len(y))
+            free, free_pairs = propagate(u, linked, j)
+            held, held_pairs = propagate(np.where(clear, HELD * y, u), linked, j)
+            g = np.bincount(col, weights=((np.tanh(free / 2) - np.tanh(held / 2)) / 2)[row], minlength=len(w)) + 0.5 * w
+            w_scale += g * g
+            w -= rate * g / np.sqrt(w_scale)
+            if len(linked):
+                g = np.bincount(linked[:, 2], weights=free_pairs - held_pairs, minlength=2) + PRIOR * j
+                j_scale += g * g
+                j = np.clip(j - 0.1 * rate * g / np.sqrt(j_scale), 0.0, STRONGEST)
+    return Field({f: float(w[k]) for f, k in names.items()}, (float(j[0]), float(j[1])))
 
 
 def _harvest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
