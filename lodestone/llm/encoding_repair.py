@@ -37,6 +37,8 @@ SEVEN_SURE = 4
 _HARD = re.compile("[\x80-\x9f�]")
 #: How much more frequent a word must be than an equally natural form for that form to count as its garbling.
 MARGIN = 5
+#: Tokens whose repair a worker remembers.
+REMEMBERED = 300_000
 
 
 def _decode_table(name: str) -> str:
@@ -215,29 +217,52 @@ def garbled_dictionary(tokens: DataFrame) -> DataFrame:
     return ranked.where("k = 1").select(F.col("form").alias("token"), F.when(~F.coalesce(lost, F.lit(False)), F.col("word")).alias("original"), sure.alias("sure"))
 
 
-_MAY_HOLD = re.compile(r"[^\x00-\x7f]|[\[\]{}|\\^~`+]")
 # where tokens stand in a text, and the edges that suspicious_tokens cuts off them
 _TOKEN = re.compile(r"(?<![!-\U0010ffff])[!-~]*\+[A-Za-z0-9/]{3}[!-~]*|(?<![!-,.-\U0010ffff])[!-,.-~]*[^\x00-\x7f][^\x00-\x20-]*|(?<![!-,.-\U0010ffff])[!-,.-~]*[\[\]{}|\\^~`][!-,.-~]*")
 _EDGES = (re.compile(r"[A-Za-z+](?:.*[A-Za-z0-9-])?", re.S), re.compile(r"[@-^`-\U0010ffff](?:.*[@-^`-\U0010ffff])?", re.S), re.compile(r"[A-Za-z\x80-\U0010ffff](?:.*[A-Za-z\x80-\U0010ffff])?", re.S))
 
 
+class Repairs(dict):
+    """Garbled token -> original; knows by which characters a text may hold one, and remembers what it has looked up."""
+
+    def __init__(self, pairs=()):
+        super().__init__(pairs)
+        marks = {next((c for c in token for odd in [_oddness(c)] if odd == max(map(_oddness, token))), "") for token in self} - {""}
+        self.marks = re.compile("[" + "".join(map(re.escape, sorted(marks))) + "]") if marks else None
+        self.seen: dict[str, tuple[int, int, str] | None] = {}
+
+    def within(self, token: str) -> tuple[int, int, str] | None:
+        """(start, end, original) of the part of a token of the text that is garbled."""
+        if token not in self.seen:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            parts = [part for edge in _EDGES if (part := edge.search(token)) and part[0] in self]
+            self.seen[token] = (parts[0].start(), parts[0].end(), self[parts[0][0]]) if parts else None
+        return self.seen[token]
+
+
+def _oddness(c: str) -> int:
+    """How little a character belongs to ordinary words."""
+    if c.isascii():
+        return 2 if not c.isalnum() else 0
+    return 1 if c in LATIN or c.lower() in CYRILLIC else 3
+
+
 def repaired(text: str, repairs: dict[str, str]) -> tuple[str, list[tuple[int, int]]]:
     """text with garbled tokens restored where they stand as tokens, and the (end, shift back, start, raw start) of each there."""
-    if not repairs or not _MAY_HOLD.search(text):
+    known = repairs if isinstance(repairs, Repairs) else Repairs(repairs)
+    if known.marks is None or not known.marks.search(text):
         return text, []
     out, steps, at, grown = [], [], 0, 0
     for m in _TOKEN.finditer(text):
-        for edge in _EDGES:
-            part = edge.search(m[0])
-            new = repairs.get(part[0]) if part else None
-            if new is not None:
-                start, end = m.start() + part.start(), m.start() + part.end()
-                out.append(text[at:start])
-                out.append(new)
-                grown += len(new) - (end - start)
-                steps.append((end + grown, -grown, start + grown - (len(new) - (end - start)), start))
-                at = end
-                break
+        hit = known.within(m[0])
+        if hit:
+            start, end, new = m.start() + hit[0], m.start() + hit[1], hit[2]
+            out.append(text[at:start])
+            out.append(new)
+            grown += len(new) - (end - start)
+            steps.append((end + grown, -grown, start + grown - (len(new) - (end - start)), start))
+            at = end
     if not steps:
         return text, []
     out.append(text[at:])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import hash_sample, spread, table_cut
-from lodestone.llm.encoding_repair import garbled_dictionary, repaired, suspicious_tokens
+from lodestone.llm.encoding_repair import Repairs, garbled_dictionary, repaired, suspicious_tokens
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 #: What a word of the lexicon can be.
@@ -71,6 +71,8 @@ ADDRESS = re.compile(
     rf"|\d{{1,4}}[A-Za-z]? (?:[{_UP}][\w’-]+ ){{1,3}}(?i:{_ROADS})\b)"
     rf"(?:,? {_UNIT})?(?:, {_POST} {_TOWN}|, {_TOWN}(?: [A-Z]{{1,2}}\d{{1,2}}[A-Z]? ?\d[A-Z]{{2}}\b)?)?"
 )
+_LAST_TOWN = re.compile(rf", (?:{_POST} )?({_TOWN})\Z")
+_DIGIT = re.compile(r"\d")
 _STATION = re.compile(rf"\d{{3}} ?\d{{2}} ({_TOWN})")
 _BRACKET = re.compile(r" <([A-Za-z0-9._+-]+)@")
 _NOT_SHOWN = re.compile(r'[\n<>|"·]')
@@ -243,24 +245,30 @@ def candidates(text: str, lexicon: dict[str, dict[str, int]]) -> list[tuple]:
     for start, end in addresses(text):
         whole = text[start:end]
         out.append((start, end, "EMAIL", "plain" if " " not in whole and "@" in whole else "veiled", (whole.casefold(),)))
-    for m in IDENTITY.finditer(text):
-        if form := identity_form(m[0]):
-            out.append((m.start(), m.end(), "ID_NUMBER", form, (m[0],)))
-    for m in PHONE.finditer(text):
-        if form := phone_form(m[0]):
-            out.append((m.start(), m.end(), "PHONE", form, (re.sub(r"\D", "", m[0])[-7:],)))
     towns = lexicon.get("town", {})
-    for m in ADDRESS.finditer(text):
-        end = m.end()
-        last = re.search(rf", (?:{_POST} )?({_TOWN})\Z", m[0])
-        if last and last[1].casefold() not in towns:
-            first = last[1].split(" ")[0]
-            cut = first if first.casefold() in towns else None
-            if cut:
-                end -= len(last[1]) - len(cut)
-            elif not re.search(r"\d", last[0]):
-                end = m.start() + last.start()
-        out.append((m.start(), end, "ADDRESS", "long" if last else "short", (text[m.start() : m.start() + 12].casefold(),)))
+    start = 0
+    for line in text.split("\n"):
+        stop = start + len(line)
+        # numbers and addresses lie within a line and have a digit
+        if _DIGIT.search(line):
+            for m in IDENTITY.finditer(text, start, stop):
+                if form := identity_form(m[0]):
+                    out.append((m.start(), m.end(), "ID_NUMBER", form, (m[0],)))
+            for m in PHONE.finditer(text, start, stop):
+                if form := phone_form(m[0]):
+                    out.append((m.start(), m.end(), "PHONE", form, (re.sub(r"\D", "", m[0])[-7:],)))
+            for m in ADDRESS.finditer(text, start, stop):
+                end = m.end()
+                last = _LAST_TOWN.search(m[0])
+                if last and last[1].casefold() not in towns:
+                    first = last[1].split(" ")[0]
+                    cut = first if first.casefold() in towns else None
+                    if cut:
+                        end -= len(last[1]) - len(cut)
+                    elif not _DIGIT.search(last[0]):
+                        end = m.start() + last.start()
+                out.append((m.start(), end, "ADDRESS", "long" if last else "short", (text[m.start() : m.start() + 12].casefold(),)))
+        start = stop + 1
     blocked = [(c[0], c[1]) for c in out if c[2] in ("EMAIL", "ADDRESS")]
     for c in name_candidates(text, lexicon["given"], lexicon["family"]):
         if not any(a < c[1] and c[0] < b for a, b in blocked):
@@ -570,7 +578,7 @@ def _finder(shared, mask: bool) -> Callable:
                 texts = b["text"].tolist()
                 if lexicon is None:
                     names = as_lexicon({(n["role"], n["token"], n["n"]) for row in b["names"] if row is not None for n in row})
-                    fixes = {f["token"]: f["original"] for row in b["fixes"] if row is not None for f in row}
+                    fixes = Repairs((f["token"], f["original"]) for row in b["fixes"] if row is not None for f in row)
                 else:
                     names, fixes = lexicon, repairs
                 found = mentions_of(texts, names, fixes, field)
@@ -597,7 +605,7 @@ def _prepared(rows: DataFrame, model, id_col: str, text_col: str):
     lexicon = table_cut(without_common_words(rows, table_cut(learn_lexicon(rows, text_col)), text_col))
     field, repairs = fit(rows, lexicon, text_col), table_cut(learn_repairs(rows, text_col, id_col))
     if lexicon.count() <= LEXICON and repairs.count() <= REPAIRS:
-        return spark.sparkContext.broadcast((as_lexicon(lexicon.collect()), {r[0]: r[1] for r in repairs.collect()}, field)), texts
+        return spark.sparkContext.broadcast((as_lexicon(lexicon.collect()), Repairs((r[0], r[1]) for r in repairs.collect()), field)), texts
     own = own_knowledge(texts, lexicon, repairs, suspicious_tokens(texts, ("text",)))
     return spark.sparkContext.broadcast((None, None, field)), texts.join(own, "id", "left")
 
