@@ -174,7 +174,7 @@ def _segmenter(shared) -> Callable:
                 flat = [clean(s) for parts in split for s, _ in parts]
                 score, grams = scores(flat, logp)
                 out, at = [], 0
-                for i, parts in zip(b["id"], split):
+                for i, v, parts in zip(b["id"], b["v"], split):
                     n = len(parts)
                     own, size = score[at : at + n], grams[at : at + n]
                     at += n
@@ -187,9 +187,9 @@ def _segmenter(shared) -> Callable:
                             total = own[first:k].sum(axis=0)
                             z = (total - total.max()) / np.sqrt(max(1, size[first:k].sum()))
                             p = np.exp(z) / np.exp(z).sum()
-                            out.append((i, number, LANGUAGES[langs[first]], float(p[langs[first]])))
+                            out.append((i, v, number, LANGUAGES[langs[first]], float(p[langs[first]])))
                             first, number = k, number + 1
-                yield pd.DataFrame(out, columns=["id", "seg_no", "lang", "confidence"])
+                yield pd.DataFrame(out, columns=["id", "v", "seg_no", "lang", "confidence"])
 
     return run
 
@@ -197,12 +197,14 @@ def _segmenter(shared) -> Callable:
 def language_segments(rows: DataFrame, model: np.ndarray, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, seg_no, lang, confidence): the longest runs of sentences in one language of each distinct id.
 
-    Null ids, null texts and texts without any visible character give no row; versions of one id: one is taken. Texts don't leave
+    Null ids, null texts and texts without any visible character give no row; of versions of one id one is taken whole. Texts don't leave
     their partition; the matrix (fixed size) is the only thing sent out.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    texts = spread(rows.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return texts.mapInPandas(_segmenter(shared), "id string, seg_no int, lang string, confidence double").dropDuplicates(["id", "seg_no"])
+    texts = spread(rows.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("v")))
+    found = texts.mapInPandas(_segmenter(shared), "id string, v long, seg_no int, lang string, confidence double")
+    one = found.withColumn("_v", F.min("v").over(Window.partitionBy("id"))).where("v = _v")
+    return one.dropDuplicates(["id", "seg_no"]).select("id", "seg_no", "lang", "confidence")
 
 
 def relabel(rows: DataFrame, labels: DataFrame, model: np.ndarray) -> DataFrame:

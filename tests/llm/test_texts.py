@@ -128,6 +128,9 @@ def test_languages(spark):
     assert got == [("de", 0, "de"), ("en", 0, "en"), ("mixed", 0, "sv"), ("mixed", 1, "de"), ("ru", 0, "ru")]
     assert all(0 < r["confidence"] <= 1 for r in language.language_segments(df, model).collect())
     assert language.relabel(df.where("false"), labels, model).count() == 0
+    long = spark.createDataFrame([("x", f"{PROSE['sv']} {PROSE['sv']}\n{PROSE['de']} {PROSE['de']}"), ("x", f"{PROSE['en']} {PROSE['en']}\n{PROSE['fr']} {PROSE['fr']}\n{PROSE['es']} {PROSE['es']}")], "id string, text string")
+    langs = tuple(r["lang"] for r in language.language_segments(long, model).orderBy("seg_no").collect())
+    assert langs in (("sv", "de"), ("en", "fr", "es"))
 
 
 def test_label_notations():
