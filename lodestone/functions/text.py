@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
 TOKEN = r"[\p{L}\p{N}]+"
@@ -78,15 +82,24 @@ def note_key(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(unix, r"\n+Tags:[^\n]*\s*$", ""), _BLANK, " "))
 
 
+def _unescape(c: pd.Series) -> pd.Series:
+    # the table of named entities is the standard library's; built-in functions have none
+    return c.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+
 def html_text(c: Column) -> Column:
-    """Text of an HTML body: scripts and styles dropped, tags to spaces, the common entities decoded, blank runs collapsed."""
+    """Text of an HTML body: scripts and styles dropped, tags to spaces, all entities decoded, blank runs collapsed."""
     c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
+    c = F.pandas_udf(_unescape, StringType())(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
     return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n\s*\n+", "\n\n"))
 
 
+def from_base64url(c: Column) -> Column:
+    """Bytes of base64 in the alphabet for URLs or the common one, with or without padding; null for null."""
+    plain = F.translate(F.regexp_replace(c, "[=\\s]", ""), "-_", "+/")
+    return F.try_to_binary(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "="), F.lit("base64"))
+
+
 def recency(created: Column, as_of: Column, days: int = 730) -> Column:
     """1 on the day, falling to 0 over `days`; 0 for what is no date."""
     day = F.try_to_date(F.when(created.rlike(r"^\d{4}-\d{2}-\d{2}$"), created), "yyyy-MM-dd")

@@ -76,6 +76,16 @@ def chunk_markdown(objects: DataFrame, kind: str = "doc", size: int = DEFAULT.ch
     return cut.withColumns({"source_kind": F.lit(kind), "id": F.concat("source_id", F.lit("#"), F.col("chunk_idx").cast("string")), "content_hash": content_hash(F.col("text"))}).select(*COLUMNS)
 
 
+def plain_chunks(objects: DataFrame, size: int = 750, most: int = 60) -> DataFrame:
+    """(id, title, text) of the simpler engine: up to `most` pieces of `size` characters without overlap; several are numbered in id and title."""
+    body = strip(without_nul(F.col("full")))
+    parts = objects.withColumn("_p", windows(body, size, 0, most)).where(F.size("_p") > 0)
+    rows = parts.select("source_id", "title", F.size("_p").alias("n"), F.posexplode("_p").alias("k", "text"))
+    many = F.col("n") > 1
+    place = F.concat(F.coalesce("title", F.lit("")), F.lit(" ["), (F.col("k") + 1).cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit("]"))
+    return rows.select(F.when(many, F.concat("source_id", F.lit("#"), F.col("k").cast("string"))).otherwise(F.col("source_id")).alias("id"), F.when(many, place).otherwise(F.col("title")).alias("title"), "text")
+
+
 def dropped_chunks(objects: DataFrame, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.overlap, most: int = DEFAULT.max_chunks) -> DataFrame:
     """(source_id, dropped): how many windows of an object chunk_rows leaves out beyond `most`, for the objects that lose any."""
     n = F.length(strip(without_nul(F.col("full"))))

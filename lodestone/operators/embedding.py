@@ -126,3 +126,16 @@ def embed(pending: DataFrame, embedder: Embedder | None = None, batch: int = 64,
 
     rows = pending.where(F.col("id").isNotNull()).select("id", F.substring(F.coalesce("text", F.lit("")), 1, head).alias("text"))
     return spread(rows).mapInPandas(run, "id string, embedding array<float>, drop_reason string")
+
+
+def throughput(pending: DataFrame, embedder: Embedder | None = None, configs: tuple[tuple[int, int], ...] = ((8, 8), (16, 8), (8, 16), (24, 8), (16, 16)), rows: int = 2000) -> list[dict]:
+    """Measured rate of each (workers, batch) over the first `rows` pending texts by id: texts, seconds, texts a second."""
+    sample = pending.orderBy("id").limit(rows).toPandas()
+    out = []
+    for workers, batch in configs:
+        df = pending.sparkSession.createDataFrame(sample).repartition(workers)
+        start = time.perf_counter()
+        n = embed(df, embedder, batch).where("embedding is not null").count()
+        spent = time.perf_counter() - start
+        out.append({"workers": workers, "batch": batch, "texts": n, "seconds": round(spent, 3), "rate": round(n / spent, 1)})
+    return out

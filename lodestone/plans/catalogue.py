@@ -91,7 +91,31 @@ def chunk_single(spark, d):
     return chunkers.chunk_rows(docs, F.col("source_kind"), single=True).select("id", "source_kind", "project", "title", "created", "updated", "text")
 
 
-@query()
+@query(
+    f"""with t as (select doc_id, title, {_STRIP("replace(text, chr(0), '')")} as t from documents where text is not null), c as (select *, least(cast(ceil(length(t) / 750.0) as int), 60) as n from t where length(t) > 0), k as (select *, unnest(range(0, n)) as k from c)
+    select case when n > 1 then doc_id || '#' || k else doc_id::varchar end as id, case when n > 1 then coalesce(title, '') || ' [' || (k + 1) || '/' || n || ']' else title end as title, substring(t, k * 750 + 1, 750) as text from k"""
+)
+def chunk_plain(spark, d):
+    return chunkers.plain_chunks(documents(spark, d).withColumn("full", F.col("text")))
+
+
+@query("""with t as (select doc_id::varchar as source_id, length(trim(text)) as n from documents where text is not null) select source_id, (ceil(n / 670.0) - 2)::bigint as dropped from t where ceil(n / 670.0) > 2""".replace("trim(text)", _STRIP("replace(text, chr(0), '')")))
+def chunk_dropped(spark, d):
+    return chunkers.dropped_chunks(documents(spark, d).withColumn("full", F.col("text")), most=2)
+
+
+# all headings of the input have one level, so that a section's path is its own heading
+_HEAD = r"'^#{1,6}\s+(.*?)\s*#*\s*$'"
+
+
+@query(
+    f"""with t as (select doc_id::varchar as source_id, source as project, replace(title, chr(0), '') as title, coalesce(created, '') as created, string_split(replace(regexp_replace(text, '(?m)^Heading: (.*)$', '# \\1', 'g'), chr(0), ''), chr(10)) as lines from documents where text is not null and source_kind in ('doc', 'note')),
+    l as (select * exclude lines, unnest(lines) as line, unnest(range(len(lines))) as k from t), m as (select *, regexp_matches(line, {_HEAD}) as head from l), n as (select *, sum(head::int) over (partition by source_id order by k) as sec from m),
+    b as (select source_id, project, title, created, sec, {_STRIP("string_agg(line, chr(10) order by k)")} as body, max(case when head then 'Heading: ' || regexp_extract(line, {_HEAD}, 1) || chr(10) || chr(10) end) as prefix from n group by all),
+    w as (select *, greatest(200, 750 - length(coalesce(prefix, ''))) as room from b where length(body) > 0), c as (select *, unnest(range(0, length(body), greatest(1, room - 80))) as s from w),
+    r as (select *, row_number() over (partition by source_id order by sec, s) - 1 as i, coalesce(prefix, '') || substring(body, s + 1, room) as text from c)
+    select source_id || '#' || i as id, 'doc' as source_kind, source_id, i::int as chunk_idx, project, title, text, created, created as updated, substring(sha1(text), 1, 16) as content_hash from r where i < 1200"""
+)
 def chunk_markdown(spark, d):
     docs = documents(spark, d).withColumns({"full": F.regexp_replace("text", r"(?m)^Heading: (.*)$", "# $1"), "updated": F.lit("")})
     return chunkers.chunk_markdown(docs.where("source_kind in ('doc', 'note')"))

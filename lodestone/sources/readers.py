@@ -176,3 +176,11 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
         return F.struct(text.alias("text"), F.when(is_text, F.create_map().cast("map<string,string>")).otherwise(F.map_filter(named, lambda k, x: (k != "contains") & (x != ""))).alias("fields"))
 
     return raw.select("qid", "query", texts("scope").alias("kinds"), F.coalesce(texts("project"), texts("repo")).alias("projects"), F.coalesce(F.transform(each, expectation), F.array().cast("array<struct<text:string,fields:map<string,string>>>")).alias("expectations"))
+
+
+def settings(spark: SparkSession, path: str) -> dict[str, str]:
+    """The settings of a file of lines `KEY=value`: comments and other lines left out, quotes around a value taken off, the last of a key counts."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("k", "line")).where(F.col("line").rlike(r"^\s*(?:export\s+)?[A-Za-z_]\w*\s*=")).orderBy("k")
+    key = F.regexp_extract("line", r"^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=", 1)
+    value = F.regexp_replace(X.strip(F.regexp_extract("line", r"=(.*)$", 1)), r"""^(["'])(.*)\1$""", "$2")
+    return {r[0]: r[1] for r in lines.select(key, value).collect()}

@@ -3,8 +3,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import verdicts
-from lodestone.sources import files, mbox, readers
+from lodestone.operators.store import SourceStatus
+from lodestone.sources import files, live, mbox, photos, readers
 from lodestone.streaming import incremental
 
 BOX = (
@@ -121,3 +123,63 @@ def test_offsets_are_kept(spark, tmp_path):
     listing = spark.createDataFrame([("b", 3), ("d", 10**12 + 5), ("e", 7), ("f", None)], "mid string, internal_ms long")
     assert [r["mid"] for r in incremental.fetch_window(listing, resume, waiting).collect()] == ["b", "d"]
     assert F is not None
+
+
+def test_live_mail_resumes(spark, tmp_path):
+    path, asked, broken = f"file:{tmp_path}/state", [], {"m3"}
+    pages = {None: '{"messages": [{"id": "m1"}, {"id": "m2"}], "nextPageToken": "t"}', "t": 'notice\n{"messages": [{"id": "m3"}, {"id": "m1"}]}'}
+
+    def call(query, token):
+        asked.append(query)
+        return pages[token] if query == "" else '{"messages": [{"id": "m4"}]}'
+
+    def mail(k, body):
+        import base64
+
+        raw = f"Message-ID: <{k}>\nSubject: {k}\nFrom: a@b\nDate: Fri, 6 Jan 2023 10:00:00 +0000\n\n{body}\n".encode()
+        return base64.urlsafe_b64encode(raw).decode().rstrip("=")
+
+    def fetch(mid):
+        if mid in broken:
+            raise RuntimeError("down")
+        return 'warning: x\n{"raw": "' + mail(mid, "räk?>~") + '", "internalDate": "' + str(10**12 + int(mid[1])) + '"}'
+
+    objects, status, done = live.pull(spark, path, call, fetch)
+    assert sorted(r["title"] for r in objects.collect()) == ["m1", "m2"] and status is SourceStatus.PARTIAL and "räk?>~" in objects.first()["full"]
+    assert incremental.stored_offsets(spark, path)[0] is None
+    done()
+    resume, waiting = incremental.stored_offsets(spark, path)
+    assert resume == 10**12 + 2 - incremental.OVERLAP_MS and [r["mid"] for r in waiting.collect()] == ["m3"]
+    broken.clear()
+    objects, _, done = live.pull(spark, path, call, fetch)
+    assert sorted(r["title"] for r in objects.collect()) == ["m3", "m4"] and asked[-1] == f"after:{resume // 1000}"
+    done()
+    assert incremental.stored_offsets(spark, path)[1].count() == 0
+    with pytest.raises(ValueError):
+        live.answer("no answer")
+
+
+def test_photos(spark, tmp_path):
+    assets = spark.createDataFrame([("A",), ("b",), ("c",)], "uuid string")
+    rows = spark.createDataFrame([("a", "/x/2", None, True), ("a", "/x/1", None, True), ("B", "/y", "gone", True), ("c", "/z", None, False)], "uuid string, file string, error string, present boolean")
+    assert {tuple(r) for r in photos.originals(assets, rows).collect()} == {("A", "/x/1"), ("b", None), ("c", None)}
+    cache, images = f"file:{tmp_path}/cache", spark.createDataFrame([("p1",), ("p2",), ("p2",), (None,)], "path string")
+
+    def reader(path):
+        with open(f"{tmp_path}/log", "a") as f:
+            f.write(path + "\n")
+        if path == "p2":
+            raise RuntimeError("unreadable")
+        return "text of " + path
+
+    for _ in range(2):
+        assert {tuple(r) for r in photos.read_texts(spark, images, reader, cache).collect()} == {("p1", "text of p1"), ("p2", "")}
+    assert sorted((tmp_path / "log").read_text().split()) == ["p1", "p2"]
+    assert photos.without_cached(images.where("path is not null"), spark.read.parquet(cache)).count() == 0
+
+
+def test_settings_entities_and_base64(spark, tmp_path):
+    (tmp_path / "env").write_text("# c\nexport A=1\nB = \"two words\"\nA=3\nnot a setting\n")
+    assert readers.settings(spark, f"file:{tmp_path}/env") == {"A": "3", "B": "two words"}
+    row = spark.createDataFrame([("<p>&aring;&#228;&#xF6; &lt;b&gt; &amp;amp;</p>", "8J-YgD8-", None)], "h string, b string, n string").select(X.html_text(F.col("h")).alias("h"), X.from_base64url(F.col("b")).cast("string").alias("b"), X.from_base64url(F.col("n")).alias("n")).first()
+    assert (row["h"], row["b"], row["n"]) == ("åäö <b> &amp;", "😀?>", None)
