@@ -136,7 +136,7 @@ def test_live_mail_resumes(spark, tmp_path):
     def mail(k, body):
         import base64
 
-        raw = f"Message-ID: <{k}>\nSubject: {k}\nFrom: a@b\nDate: Fri, 6 Jan 2023 10:00:00 +0000\n\n{body}\n".encode()
+        raw = f"Message-ID: <{k}>\nSubject: {k}\nFrom: a@b\nContent-Type: text/plain; charset=utf-8\nDate: Fri, 6 Jan 2023 10:00:00 +0000\n\n{body}\n".encode()
         return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 
     def fetch(mid):
