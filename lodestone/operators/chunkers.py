@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.runtime import spread
 from lodestone.functions.text import content_hash, strip, windows, without_nul
+from lodestone.operators import code_blocks
 from lodestone.schema import DEFAULT
 
 COLUMNS = ["id", "source_kind", "source_id", "chunk_idx", "project", "title", "text", "created", "updated", "content_hash"]
@@ -157,7 +158,8 @@ def _definitions(tree: ast.AST, trail: tuple[str, ...] = ()) -> Iterator[tuple[i
 def code_chunks(source: str, path: str, language: str | None = None, budget: int = 1200, least: int = 80) -> list[tuple]:
     """(language, symbols, kind, start_line, end_line, body, text) pieces of a source file that keep every non-blank character.
 
-    Python is cut along its syntax tree, other languages and broken files along lines; pieces under `least` join the one before.
+    Python is cut along its syntax tree, languages with braces along their blocks, others and broken files along lines; pieces under
+    `least` join the one before.
     """
     language = language or language_of(path) or "text"
     lines = source.split("\n")
@@ -168,6 +170,9 @@ def code_chunks(source: str, path: str, language: str | None = None, budget: int
             spans, found = _python_spans(tree.body, 0, len(lines), lines, budget), list(_definitions(tree))
         except (SyntaxError, ValueError, RecursionError):
             spans = []
+    elif language in code_blocks.BRACES:
+        depth = code_blocks.depths(source, language == "php")
+        spans, found = code_blocks.spans(lines, depth, budget, _size), list(code_blocks.definitions(lines, depth))
     spans = spans or _line_spans(lines, budget)
     merged: list[tuple[int, int]] = []
     for s, e in spans:

@@ -64,6 +64,73 @@ def test_code_keeps_everything(lines, budget):
     assert squeeze("".join(c[5] for c in chunkers.code_chunks(source, "x.txt", None, budget, 8))) == squeeze(source)
 
 
+JS = """import x from "y";
+
+// a } that doesn't count
+function first(a) {
+  return "{" + a;
+}
+
+class Box extends Base {
+  one() {
+    return `{${this.a}`;
+  }
+
+  async two(b, c) {
+    if (b) { return c; }
+    return 1;
+  }
+}
+
+export const third = async (q) => {
+  return q;
+};
+"""
+RUST = """pub struct Point { x: i32 }
+
+impl Point {
+    pub fn new(x: i32) -> Self {
+        Point { x }
+    }
+}
+
+fn main() {
+    let p = Point::new(1);
+}
+"""
+C = """#include <a.h>
+#define OPEN {
+static int add(int a, char *b)
+{
+    return a; /* } */
+}
+int main(void) {
+    while (1) { break; }
+    return add(1, "}");
+}
+"""
+
+
+def test_blocks_of_languages_with_braces():
+    got = chunkers.code_chunks(JS, "a/b.ts", None, 60, 10)
+    assert [s for c in got for s in c[1]] == ["first", "Box", "Box.one", "Box.two", "third"]
+    assert "".join("".join(c[5].split()) for c in got) == "".join(JS.split())
+    assert [c[2] for c in got if c[1] == ["first"]] == ["function"] and any(c[6].startswith("[a/b.ts] class Box") for c in got)
+    assert {s for c in chunkers.code_chunks(RUST, "p.rs", None, 40, 5) for s in c[1]} == {"Point", "Point.new", "main"}
+    assert {s for c in chunkers.code_chunks(C, "m.c", None, 30, 5) for s in c[1]} >= {"main"}
+    long = "function f() {\n" + "".join(f"  x{k} = {k};\n" for k in range(400)) + "}\n"
+    pieces = chunkers.code_chunks(long, "b.js", None, 700, 80)
+    assert len(pieces) > 3 and all(len("".join(c[5].split())) <= 700 + 10 for c in pieces)
+    assert len(chunkers.code_chunks("function a() {\n}\n\nfunction b() {\n}\n", "c.js", None, 700, 80)) == 1
+
+
+@given(st.lists(st.text(alphabet="ab (){}\"'`/*;=\n", max_size=40), max_size=30), st.integers(10, 200))
+def test_blocks_keep_everything(lines, budget):
+    source = "\n".join(lines)
+    squeeze = lambda s: "".join(s.split())
+    assert squeeze("".join(c[5] for c in chunkers.code_chunks(source, "x.js", None, budget, 8))) == squeeze(source)
+
+
 def test_query_terms(spark):
     q = spark.createDataFrame([("How do I find the Försörjningsstöd och snake_case_name document?",), ("search archive",), ("",), (None,)], "q string")
     rows = q.select(X.query_terms(F.col("q")).alias("t"), X.soft_terms(F.col("q")).alias("s")).collect()
