@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,13 +17,16 @@ LABELS = ("impersonal", "personal", "ambiguous")
 Classifier = Callable[[list[str]], list]
 
 
+_PRICE = re.compile(r"[0-9][.,][0-9][0-9]")
+
+
 def rule_classifier(texts: list[str]) -> list[str]:
     """Stand-in without a model: a text with a link or a price tells of things, one with first-person words of a person."""
     out = []
-    for t in texts:
-        words = set(t.lower().split())
+    for t in map(str.lower, texts):
+        words = set(t.split())
         personal = bool(words & {"i", "me", "my", "you", "jag", "mig", "min", "du", "dig", "vi", "we", "love", "älskar"})
-        thing = "http" in t or "www." in t or bool(words & {"kr", "eur", "€", "$"})
+        thing = "http" in t or "www." in t or bool(_PRICE.search(t))
         out.append("impersonal" if thing and not personal else "personal" if personal else "ambiguous")
     return out
 

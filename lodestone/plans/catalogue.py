@@ -580,7 +580,7 @@ def mbox_texts(spark, d):
 
 _BODIES = rf"""(select upper(list_extract(string_split(source_id, 'photo:'), -1)) as uuid, substring({_STRIP(r"regexp_replace(string_agg(text, ' ' order by chunk_idx), '^\S+\s*\[[^\]]*\]', '')")}, 1, 1200) as body from (select distinct source_id, chunk_idx, text from chunks where source_kind = 'screenshot') group by source_id)"""
 _WORDS = "string_split_regex(lower(body), '[\\s\\p{Z}]+')"
-_VERDICTS = f"""(select uuid, case when (contains(lower(body), 'http') or contains(lower(body), 'www.') or list_has_any({_WORDS}, ['kr', 'eur', '€', '$'])) and not p then 'impersonal' when p then 'personal' else 'ambiguous' end as label
+_VERDICTS = f"""(select uuid, case when (contains(lower(body), 'http') or contains(lower(body), 'www.') or regexp_matches(body, '[0-9][.,][0-9][0-9]')) and not p then 'impersonal' when p then 'personal' else 'ambiguous' end as label
     from (select *, list_has_any({_WORDS}, ['i', 'me', 'my', 'you', 'jag', 'mig', 'min', 'du', 'dig', 'vi', 'we', 'love', 'älskar']) as p from {_BODIES}))"""
 
 

@@ -13,7 +13,7 @@ from lodestone.functions import text as X
 from lodestone.functions.runtime import table_cut
 from lodestone.operators.state import StateStore
 from lodestone.operators.store import SourceStatus
-from lodestone.sources.records import mails
+from lodestone.sources.records import first_of, mails
 from lodestone.streaming.incremental import OVERLAP_MS, stored_offsets
 
 #: One page of a listing: (query, page token or None) -> output of the account's tool, {"messages": [{"id"}], "nextPageToken"?} in JSON.
@@ -78,3 +78,13 @@ def pull(spark: SparkSession, path: str, call: Lister, fetch: Fetcher) -> tuple[
         store.put("mail_offset", {"watermark_ms": mark, "resume_ms": None if mark is None else mark - OVERLAP_MS})
 
     return mails(got.where("outcome = 'ok'").select("raw", F.lit("live").alias("origin"), "internal_ms")), SourceStatus.PARTIAL, done
+
+
+def archive_and_live(archives: DataFrame | None, live: DataFrame | None, archives_changed: bool = True) -> tuple[DataFrame | None, SourceStatus]:
+    """(mail objects, status) of archived and live mail together: of one mail the archive's object counts. Archives that are as before are
+    not read again, so that what was seen is PARTIAL, as it is with live mail, which is a part of the account."""
+    parts = [p for p in (archives if archives_changed else None, live) if p is not None]
+    if not parts:
+        return None, SourceStatus.UNCHANGED
+    both = parts[0] if len(parts) == 1 else first_of(parts[0].withColumn("_part", F.lit(0)).unionByName(parts[1].withColumn("_part", F.lit(1))), ["source_id"], ["_part", "origin"]).drop("_part")
+    return both, SourceStatus.COMPLETE if live is None else SourceStatus.PARTIAL

@@ -7,12 +7,12 @@ import email.policy
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timezone
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -51,6 +51,25 @@ def graph_tasks(rows: DataFrame) -> DataFrame:
     )
 
 
+def task_nodes(spark: SparkSession, graphs: list[str], query: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """Rows for graph_tasks from every graph that has tasks: query(graph, text) runs a graph query and gives its rows; one graph that fails
+    costs its own tasks only. Each graph is one task's work."""
+    columns = ["uuid", "name", "summary", "status", "external_source", "created_at"]
+    text = f"MATCH (t:Task) RETURN {', '.join(f't.{c}' for c in columns)}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for graph in b["graph"]:
+                try:
+                    rows = [tuple(None if v is None else str(v) for v in row) for row in query(graph, text)]
+                except Exception:
+                    continue
+                yield pd.DataFrame(rows, columns=columns)
+
+    named = spark.createDataFrame([(g,) for g in graphs], "graph string").repartition(max(1, len(graphs)))
+    return named.mapInPandas(run, ", ".join(f"{c} string" for c in columns))
+
+
 def commits(rows: DataFrame, most: int = DEFAULT.commit_max) -> DataFrame:
     """One object per commit of a repository, its text cut at `most` characters; repeated and late rows count once, the earliest fetched wins."""
     one = first_of(rows.where("sha is not null"), ["repo", "sha"], ["fetched_at", "author", "authored", "subject", "body"])

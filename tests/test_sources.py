@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import verdicts
 from lodestone.operators.store import SourceStatus
-from lodestone.sources import files, live, mbox, photos, readers
+from lodestone.sources import files, live, mbox, photos, readers, records
 from lodestone.streaming import incremental
 
 BOX = (
@@ -183,3 +183,30 @@ def test_settings_entities_and_base64(spark, tmp_path):
     assert readers.settings(spark, f"file:{tmp_path}/env") == {"A": "3", "B": "two words"}
     row = spark.createDataFrame([("<p>&aring;&#228;&#xF6; &lt;b&gt; &amp;amp;</p>", "8J-YgD8-", None)], "h string, b string, n string").select(X.html_text(F.col("h")).alias("h"), X.from_base64url(F.col("b")).cast("string").alias("b"), X.from_base64url(F.col("n")).alias("n")).first()
     assert (row["h"], row["b"], row["n"]) == ("åäö <b> &amp;", "😀?>", None)
+
+
+def test_archive_before_live(spark):
+    columns = "source_id string, title string, origin string"
+    old = spark.createDataFrame([("email:1", "archived", "a.mbox"), ("email:2", "only there", "a.mbox")], columns)
+    new = spark.createDataFrame([("email:1", "live", "live"), ("email:3", "only here", "live")], columns)
+    rows, status = live.archive_and_live(old, new)
+    assert {r["source_id"]: r["title"] for r in rows.collect()} == {"email:1": "archived", "email:2": "only there", "email:3": "only here"} and status is SourceStatus.PARTIAL
+    assert live.archive_and_live(old, None) == (old, SourceStatus.COMPLETE)
+    assert live.archive_and_live(old, None, False) == (None, SourceStatus.UNCHANGED)
+    assert live.archive_and_live(old, new, False)[1] is SourceStatus.PARTIAL
+
+
+def test_screenshots_and_graphs(spark):
+    files_of = spark.createDataFrame([("/a.png", "a.png", True), ("/b.jpg", "b.jpg", False), ("/c.png", "c.png", True), ("/d.png", "d.png", True)], "path string, name string, is_screenshot boolean")
+    labels = spark.createDataFrame([("/a.png", [f"l{k}" for k in range(12)]), ("/b.jpg", ["Sky"])], "path string, labels array<string>")
+    cache = spark.createDataFrame([("/d.png", "cached")], "path string, text string")
+    rows = readers.screenshots(files_of, labels, lambda path: F.when(path == "/a.png", "read"), cache).collect()
+    assert {r["source_id"]: r["full"] for r in rows} == {"photo:/a.png": "a.png [" + ", ".join(f"l{k}" for k in range(10)) + "]\nread", "photo:/b.jpg": "b.jpg [Sky]\n", "photo:/d.png": "d.png []\ncached"}
+
+    def query(graph, text):
+        if graph == "broken":
+            raise RuntimeError("down")
+        return [(f"{graph}-1", "name", None, "open", None, 1723500000)] if "Task" in text else []
+
+    got = records.graph_tasks(records.task_nodes(spark, ["g", "broken", "h"], query)).collect()
+    assert {(r["source_id"], r["created"], r["full"]) for r in got} == {("fyr:g-1", "2024-08-12", "name [?/open]"), ("fyr:h-1", "2024-08-12", "name [?/open]")}
