@@ -50,38 +50,49 @@ def clean(text: str) -> str:
     return " " + _NOT_LETTER.sub(" ", _NOISE.sub(" ", text)).strip().lower() + " "
 
 
-def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of all texts together, and for each the number of its text."""
-    joined = "\0".join(texts)
-    code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(code)]
-    found, owners = [], []
-    with np.errstate(over="ignore"):
-        for n in SIZES:
-            if len(code) < n:
-                continue
-            h = np.full(len(code) - n + 1, n, dtype=np.uint64)
-            for k in range(n):
-                h = (h ^ code[k : len(code) - n + 1 + k]) * np.uint64(0x100000001B3)
+def _hashed(texts: list[str]) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """Where each text starts, and for every size in turn the bucket of the n-gram at each character of all texts; BUCKETS where one would
+    reach beyond its text. The hash of a longer n-gram goes on from that of the shorter."""
+    code = np.frombuffer(("\0".join(texts) + "\0" * SIZES[-1]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]).astype(np.int64) if texts else np.zeros(0, np.int64)
+
+    def sizes() -> Iterator[np.ndarray]:
+        wide, gap = code.astype(np.uint64), code == 0
+        h, outside = np.zeros(len(code), dtype=np.uint64), np.zeros(len(code), dtype=bool)
+        for n in range(1, SIZES[-1] + 1):
+            stop = len(code) - n + 1
+            with np.errstate(over="ignore"):
+                h = (h[:stop] ^ wide[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            inside = owner[: len(h)] == owner[n - 1 :]
-            gap = code == 0
-            for k in range(n):
-                inside &= ~gap[k : len(code) - n + 1 + k]
-            found.append((h[inside] & np.uint64(BUCKETS - 1)).astype(np.int64))
-            owners.append(owner[: len(h)][inside])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owners)
+            outside = outside[:stop] | gap[n - 1 :]
+            if n in SIZES:
+                bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+                bucket[outside] = BUCKETS
+                yield bucket
+
+    return starts, sizes()
+
+
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """How often each bucket is met by the n-grams of all texts."""
+    return sum((np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS] for bucket in _hashed(texts)[1]), np.zeros(BUCKETS))
+
+
+def gram_sums(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the sum of the table's rows (bucket, column) over its n-grams, and their number."""
+    out, count = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), dtype=np.int64)
+    if texts:
+        padded = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+        starts, sizes = _hashed(texts)
+        for bucket in sizes:
+            out += np.add.reduceat(padded[bucket], starts, axis=0)
+            count += np.add.reduceat((bucket < BUCKETS).astype(np.int64), starts)
+    return out, count
 
 
 def scores(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood of each text under each language, and its number of n-grams."""
-    bucket, owner = gram_buckets(texts)
-    out = np.zeros((len(texts), logp.shape[1]))
-    for k in range(logp.shape[1]):
-        out[:, k] = np.bincount(owner, weights=logp[bucket, k], minlength=len(texts))
-    return out, np.bincount(owner, minlength=len(texts))
+    return gram_sums(texts, logp)
 
 
 def _garbled(text: str) -> Iterator[str]:
@@ -101,12 +112,12 @@ def train(texts: list[tuple[str, str]], alpha: float = 0.3) -> np.ndarray:
         for y in range(len(LANGUAGES)):
             own = [(c, t) for c, z, t in kept if z == y]
             for at in range(0, len(own), 50):
-                count[y] += np.bincount(gram_buckets([c for c, _ in own[at : at + 50]])[0], minlength=BUCKETS)
+                count[y] += gram_counts([c for c, _ in own[at : at + 50]])
             if turn:
                 # every tenth text also as it looks after a wrong decoding, at low weight
                 bad = [clean(g) for _, t in own[::10] for g in _garbled(t[:2000])]
                 if bad:
-                    count[y] += 0.1 * np.bincount(gram_buckets(bad)[0], minlength=BUCKETS)
+                    count[y] += 0.1 * gram_counts(bad)
         logp = np.log(count / count.sum(axis=1, keepdims=True)).T.astype(np.float32)
         if not turn:
             guess = np.concatenate([scores([c for c, _, _ in kept[at : at + 200]], logp)[0].argmax(axis=1) for at in range(0, len(kept), 200)]) if kept else []
