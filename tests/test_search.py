@@ -1,8 +1,11 @@
 import math
 
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.operators import evaluate, search
+from lodestone.schema import Config
 
 CHUNKS = "id string, source_kind string, source_id string, chunk_idx int, project string, title string, text string, created string, embedding array<float>, rank int"
 
@@ -66,3 +69,66 @@ def test_expectations(spark):
     e = spark.createDataFrame([("Boat trip", "p", "trip", None), ("x", "p", None, {"project": "P"}), ("x", "p", None, {}), ("x", "p", None, {"nope": "a"})], "t string, project string, text string, fields map<string,string>")
     got = e.select(evaluate.matches(F.col("t"), {"project": F.col("project")}, F.struct("text", "fields")).alias("m")).collect()
     assert [r["m"] for r in got] == [True, True, False, False]
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    t = table(spark).where("id is not null")
+    q = spark.createDataFrame([(k, w, [float(k), 1.0], ["doc"] if k % 2 else None) for k, w in enumerate(["boat", "the boat", "sail", "licence", "x"])], "qid int, q string, vector array<double>, kinds array<string>")
+
+    def rows():
+        near = {(r["qid"], r["id"], r["rank"], r["sem"]) for r in search.vector_layer(t, q, 3, dim=2).collect()}
+        exact = {(r["qid"], r["id"], r["rank"]) for r in search.exact_layer(t, q).collect()}
+        scan = {(r["qid"], r["id"], r["score"]) for r in search.linear_scan(t, q).collect()}
+        return near, exact, scan
+
+    whole = rows()
+    monkeypatch.setattr(search, "BLOCK", 2)
+    assert rows() == whole and all(whole)
+    needles = q.select("qid", F.col("q").alias("needle"), "kinds")
+    a, b = ({tuple(r) for r in search.containing(t, needles, F.lower("text"), ["id"], size).collect()} for size in (300, 1))
+    assert a == b and (2, "b#0") in a and not any(k % 2 and i == "b#0" for k, i in a)
+
+
+def test_literals_and_joins_find_the_same(spark, monkeypatch, tmp_path):
+    t = table(spark)
+    q = spark.createDataFrame([(1, "the boat"), (2, "boats"), (3, "licence sail")], "qid int, q string")
+    search.write_postings(search.postings(t), f"file:{tmp_path}/index", 2)
+    index = search.read_postings(spark, f"file:{tmp_path}/index")
+    layers = lambda: [{tuple(r) for r in layer(index, q).collect()} for layer in (search.strict_layer, search.soft_layer)]
+    pushed = layers()
+    plan = search.soft_layer(index, q)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,boat)" in plan
+    monkeypatch.setattr(search, "LITERALS", 0)
+    assert layers() == pushed
+    whole = search.soft_layer(index, q, Config(prefix_chars=None))
+    assert (1, "b#0") not in {(r["qid"], r["id"]) for r in whole.collect()} and whole.count() > 0
+
+
+def test_headlines():
+    words = [f"w{k}" for k in range(120)]
+    text = " ".join(words)
+    assert search.headline_of(text, {"nothing"}) == " ".join(words[:14])
+    one = search.headline_of(text, {"w50"})
+    assert "«w50»" in one and 14 <= len(one.split()) <= 32
+    far = search.headline_of(text, {"w5", "w60", "w90", "w119"})
+    assert far.count(" … ") == 2 and far.count("«") == 3 and all(len(f.split()) <= 32 for f in far.split(" … "))
+    assert search.headline_of("", {"a"}) == "" and search.headline_of("Boat, boat!", {"boat"}) == "«Boat,» «boat!»"
+
+
+@given(st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=150), st.sets(st.sampled_from(["a", "b", "z"]), min_size=1))
+def test_headlines_keep_order_and_bounds(words, terms):
+    out = search.headline_of(" ".join(words), terms)
+    fragments = out.split(" … ")
+    assert len(fragments) <= 3 and all(len(f.split()) <= 32 for f in fragments)
+    plain = " ".join(words)
+    assert all(f.replace("«", "").replace("»", "") in plain for f in fragments)
+    assert bool(terms & set(words)) == ("«" in out)
+
+
+def test_expectations_of_a_case(spark):
+    hits = spark.createDataFrame([(1, 1, "i", "note", "p", "T", "the boat", "2020"), (1, 2, "j", "doc", "p", "T", "the boat", "2020")], "qid int, rank int, id string, source_kind string, project string, title string, text string, created string")
+    cases = spark.createDataFrame([(1, [("nowhere", {}), ("BOAT", {"source_kind": "doc"})]), (2, [])], "qid int, expectations array<struct<text:string,fields:map<string,string>>>")
+    assert [r["id"] for r in evaluate.judge(hits, cases).collect()] == ["j"]
+    row = evaluate.latency(spark.createDataFrame([(1.0,), (3.04,)], "ms double")).first()
+    assert (row["latency_ms_avg"], row["latency_ms_p95"]) == (2.0, 3.0)
+    assert evaluate.latency(spark.createDataFrame([], "ms double")).first()["latency_ms_p95"] == 0.0
