@@ -34,7 +34,6 @@ _SEVEN_SIGN = re.compile(r"[\[\]{}|\\^~`]")
 _UTF7 = re.compile(r"\+[A-Za-z0-9/]{3,}")
 #: Letters from which a word in a 7-bit alphabet is a finding of its own; shorter ones may be code.
 SEVEN_SURE = 4
-_HARD = re.compile("[\x80-\x9f�]")
 #: How much more frequent a word must be than an equally natural form for that form to count as its garbling.
 MARGIN = 5
 #: Tokens whose repair a worker remembers.
@@ -105,6 +104,10 @@ def garbled_forms(word: str) -> Iterator[tuple[str, bool]]:
                         yield twice, True
 
 
+#: What stands in garbled forms of letters only, under the same chains: control characters, and the sign for a lost letter.
+LOST = {c for letter in LATIN + CYRILLIC + CYRILLIC.upper() for form, _ in garbled_forms(letter) for c in form if "\x7f" < c < "\xa0" or c == "\ufffd"}
+
+
 def rare_forms(word: str) -> set[str]:
     """The forms of word under the second readings that garbled_forms leaves out, as they are rarer than any of its own."""
     utf, raws = word.encode("utf-8", "surrogatepass"), [raw for src in SINGLE if (raw := _bytes(word, src)) is not None]
@@ -162,7 +165,7 @@ def _generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 word = reversed_utf8(token)
                 if word and (token.isascii() or any(form == token for form, _ in garbled_forms(word)) or token in rare_forms(word)):
                     out.append((token, word, True, 0))
-                elif _HARD.search(token):
+                elif not LOST.isdisjoint(token):
                     out.append((token, None, True, 0))
         yield pd.DataFrame(out, columns=["form", "word", "multi", "word_n"])
 
